@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and \x09 to \x0D.
@@ -21,17 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folder of this process for each application whose session sets none.
+_OWN: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset (tests,
-    local mode) a folder of this process is taken and set as checkpoint folder.
+    The folder is the session's spark.checkpoint.dir. Only where that is unset
+    (tests, local mode) a folder of this process is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-sluice-")
+        base = _OWN[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -99,3 +105,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
 def counted_at_most(df: DataFrame, bound: int) -> bool:
     """Whether df has at most `bound` rows, without reading more than it must."""
     return df.limit(bound + 1).count() <= bound
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str, per_bucket: int = 100_000) -> DataFrame:
+    """df with a column `name`: each row's place in its group, from 0 and without gaps.
+
+    A group may hold any share of the rows, so it is dealt over hash buckets of
+    `order` first: places are counted inside a bucket, and the buckets of a group get
+    their first places from the (group, bucket) counts. No task holds a whole group.
+    The place is stable for given rows; only rows equal in `order` may swap.
+    """
+    rows = df.count()
+    buckets = max(1, -(-rows // per_bucket))
+    if buckets == 1:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long") - 1)
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    counts = df.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    first = counts.select(
+        *[F.col(c).alias(f"_g{k}") for k, c in enumerate(group)], F.col("_bucket").alias("_b"),
+        (F.sum("_n").over(W.partitionBy(*group).orderBy("_bucket")) - F.col("_n")).alias("_first"),
+    )
+    same = F.col("_bucket") == F.col("_b")
+    for k, c in enumerate(group):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    local = F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(*order)).cast("long") - 1
+    out = df.withColumn(name, local).join(first, same)
+    return out.withColumn(name, F.col(name) + F.col("_first")).drop("_bucket", "_b", "_first", *[f"_g{k}" for k in range(len(group))])
