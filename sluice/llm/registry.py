@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import chat, sharding, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_warc_revisits": warc.op1_warc_revisits}
+    return {
+        "op1_warc_revisits": warc.op1_warc_revisits,
+        "op4_vector_shards": sharding.op4_vector_shards,
+        "op8_url_filters": url_filters.op8_url_filters,
+        "op10_preference_format": chat.op10_preference_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": warc.OP1_SQL}
+    return {"op1_warc_revisits": warc.OP1_SQL, "op8_url_filters": url_filters.OP8_SQL}
