@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, sharding, url_filters, warc
+from . import chat, packing, sharding, tokens, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_warc_revisits": warc.op1_warc_revisits,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_token_files": tokens.op3_token_files,
         "op4_vector_shards": sharding.op4_vector_shards,
         "op8_url_filters": url_filters.op8_url_filters,
         "op10_preference_format": chat.op10_preference_format,

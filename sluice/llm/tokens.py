@@ -34,50 +34,119 @@ from tokenizers import Tokenizer
 
 from .common import save, scratch, slices, table
 
-#: A place where every token ends: before a space that follows a non-space.
+#: Places where every token ends: before a space that follows a non-space; between a
+#: letter and these signs; before a line end that follows a sign, and after a lone one.
 CUT = re.compile(r"(?<=\S)(?= )")
+INNER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!?;:#%&*$|\n])|(?<=[.,!?;:#%&*$|])(?=\n)|(?<=\S\n)(?=\S)")
+
+
+#: One word of Latin letters, with or without a space before it.
+WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: printable bytes as they are, others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Kept(dict):
+    """A cache of two generations with about `limit` entries each."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of `wanted` that neither generation has; those of the older one are taken over."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        new, older = [], self.older
+        for c in wanted.difference(self):
+            if c in older:
+                self[c] = older[c]
+            else:
+                new.append(c)
+        return new
 
 
 class Encoder:
-    """text -> ids as little-endian unsigned 32-bit integers, in bytes."""
+    """text -> ids as little-endian unsigned 32-bit integers, in bytes.
 
-    def __init__(self, path: str, limit: int = 300_000):
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.later: dict[str, bytes | None] = {}  # by chunk without its leading space
-        self.first: dict[str, bytes] = {}
+    Chunks seen before come from a cache, and so do the pieces of new chunks. Pieces that
+    are plain words go to the tokenizer's model at once; for them the steps before it
+    only change case and drop or keep the space. Others are encoded many at a time with a
+    special token between them, whose id then parts the ids; the tokenizer treats what
+    lies between special tokens apart.
+    """
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+    def __init__(self, path: str, limit: int = 400_000):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mark_id, self.mark = min((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        self.danger = self.mark[0]
+        self.chunks, self.pieces = Kept(limit), Kept(limit)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        # How this tokenizer treats a plain word, or None where neither way gives its ids.
+        probe = ["a", " The", "Straße", " éÀ", "Ünterwords", " zzxqj"]
+        ways = [(lower, space) for lower in (False, True) for space in (True, False)]
+        self.way = next((w for w in ways if [self._word(p, *w) for p in probe] == [self._alone(p) for p in probe]), None)
+
+    def _word(self, word: str, lower: bool, space: bool) -> bytes:
+        word = word if space else word.lstrip(" ")
+        word = (word.lower() if lower else word).encode().decode("latin1").translate(self.letters)
+        return np.asarray([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+
+    def _alone(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, pieces: list[str], group: int = 4000) -> list[bytes]:
+        """pieces: without the first character of special tokens."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), group):
+            joined = self.mark.join(pieces[at : at + group])
+            ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            raw, last = ids.tobytes(), 0
+            for cut in (np.flatnonzero(ids == self.mark_id) * 4).tolist():
+                out.append(raw[last:cut])
+                last = cut + 4
+            out.append(raw[last:])
+        return out
 
-    def _learn(self, lists: list[list[str]]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         """Encode the chunks that no text had before."""
-        known = self.later
-        new = [c for c in {c for parts in lists for c in parts[1:]} if c not in known]
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = list({c for parts in lists for c in parts[1:]})
-        # None: next to more white space, so the cut before it may be wrong.
-        plain = [c for c in new if c and not c[0].isspace()]
-        known.update((c, None) for c in new if not c or c[0].isspace())
-        known.update(zip(plain, self._ids([" " + c for c in plain]), strict=True))
-        heads = [c for c in {parts[0] for parts in lists} if c not in self.first]
-        if len(self.first) + len(heads) > self.limit // 8:
-            self.first.clear()
-            heads = list({parts[0] for parts in lists})
-        self.first.update(zip(heads, self._ids(heads), strict=True))
-
-    def _whole(self, text: str) -> bytes:
-        """The same by careful cuts."""
-        return b"".join(self._ids(CUT.split(text)))
+        cut: dict[str, list[str]] = {}
+        for c in self.chunks.missing(chunks):
+            if c == " " or c[1:2].isspace():
+                self.chunks[c] = None  # next to more white space, so the cut before it may be wrong
+            elif self.danger in c:
+                self.chunks[c] = self._alone(c)  # may hold a special token
+            else:
+                cut[c] = INNER.split(c)
+        new = self.pieces.missing({p for parts in cut.values() for p in parts})
+        if self.way:
+            lower, space = self.way
+            other = []
+            for p in new:
+                if WORD.fullmatch(p) and (not lower or p.lower().strip(" ").isalpha()):
+                    self.pieces[p] = self._word(p, lower, space)
+                else:
+                    other.append(p)
+            new = other
+        self.pieces.update(zip(new, self._ids(new), strict=True))
+        get = self.pieces.__getitem__
+        for c, parts in cut.items():
+            self.chunks[c] = b"".join(map(get, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        lists = [t.split(" ") for t in texts]
-        self._learn(lists)
+        # Chunks but a text's first keep their leading space, so both kinds share a cache.
+        lists = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else CUT.split(t) for t in texts]
+        self._learn({c for parts in lists for c in parts})
         out = []
         for text, parts in zip(texts, lists, strict=True):
-            ids = list(map(self.later.__getitem__, parts[1:]))
-            out.append(self._whole(text) if None in ids else self.first[parts[0]] + b"".join(ids))
+            ids = list(map(self.chunks.__getitem__, parts))
+            out.append(b"".join(map(self._alone, CUT.split(text))) if None in ids else b"".join(ids))
         return out
 
 
