@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, sharding, tokens, url_filters, warc
+from . import chat, packing, quality_rules, sharding, tokens, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_token_files": tokens.op3_token_files,
         "op4_vector_shards": sharding.op4_vector_shards,
+        "op5_quality_rules": quality_rules.op5_quality_rules,
         "op8_url_filters": url_filters.op8_url_filters,
         "op10_preference_format": chat.op10_preference_format,
     }
