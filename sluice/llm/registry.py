@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, packing, quality_rules, sharding, tokens, url_filters, warc
+from . import chat, decontaminate, jaccard, packing, quality_classifier, quality_rules, sharding, tokens, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_vector_shards": sharding.op4_vector_shards,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
+        "op7_quality_classifier": quality_classifier.op7_quality_classifier,
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_spaced_seed_decontamination": decontaminate.op9_spaced_seed_decontamination,
         "op10_preference_format": chat.op10_preference_format,
