@@ -167,3 +167,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, placed = pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return placed
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as placed pieces (see op2_best_fit_packing)."""
+    _, placed = pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    return placed

@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +84,7 @@ class Encoder:
     lies between special tokens apart.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 350_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.mark_id, self.mark = min((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
         self.danger = self.mark[0]
@@ -91,12 +93,15 @@ class Encoder:
         # How this tokenizer treats a plain word, or None where neither way gives its ids.
         probe = ["a", " The", "Straße", " éÀ", "Ünterwords", " zzxqj"]
         ways = [(lower, space) for lower in (False, True) for space in (True, False)]
-        self.way = next((w for w in ways if [self._word(p, *w) for p in probe] == [self._alone(p) for p in probe]), None)
+        self.way = next((w for w in ways if self._words(probe, *w) == [self._alone(p) for p in probe]), None)
 
-    def _word(self, word: str, lower: bool, space: bool) -> bytes:
-        word = word if space else word.lstrip(" ")
-        word = (word.lower() if lower else word).encode().decode("latin1").translate(self.letters)
-        return np.asarray([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+    def _words(self, words: list[str], lower: bool, space: bool) -> list[bytes]:
+        """Plain words, with or without a space before them, through the model alone."""
+        text = "\n".join(words)
+        text = text if space else text.replace(" ", "")
+        mapped = (text.lower() if lower else text).encode().decode("latin1").translate(self.letters)
+        tokenize = self.model.tokenize
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in mapped.split(self.letters[10])]
 
     def _alone(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -116,44 +121,58 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Encode the chunks that no text had before."""
-        cut: dict[str, list[str]] = {}
+        plain = []
         for c in self.chunks.missing(chunks):
-            if c == " " or c[1:2].isspace():
-                self.chunks[c] = None  # next to more white space, so the cut before it may be wrong
-            elif self.danger in c:
+            if self.danger in c or "\0" in c or "\1" in c:
                 self.chunks[c] = self._alone(c)  # may hold a special token
+            elif c == " " or c[1:2].isspace():
+                self.chunks[c] = None  # next to more white space, so the cut before it may be wrong
             else:
-                cut[c] = INNER.split(c)
-        new = self.pieces.missing({p for parts in cut.values() for p in parts})
+                plain.append(c)
+        if not plain:
+            return
+        cut = [c.split("\1") for c in INNER.sub("\1", "\0".join(plain)).split("\0")]
+        new = self.pieces.missing(set(chain.from_iterable(cut)))
         if self.way:
             lower, space = self.way
-            other = []
-            for p in new:
-                if WORD.fullmatch(p) and (not lower or p.lower().strip(" ").isalpha()):
-                    self.pieces[p] = self._word(p, lower, space)
-                else:
-                    other.append(p)
-            new = other
-        self.pieces.update(zip(new, self._ids(new), strict=True))
-        get = self.pieces.__getitem__
-        for c, parts in cut.items():
-            self.chunks[c] = b"".join(map(get, parts))
+            words = [p for p in new if WORD.fullmatch(p)]
+            if lower:
+                words = [p for p in words if p.isascii() or p.lower().strip(" ").isalpha()]
+            if words:
+                self.pieces.update(zip(words, self._words(words, lower, space), strict=True))
+            new = list(set(new).difference(words))
+        if new:
+            self.pieces.update(zip(new, self._ids(new), strict=True))
+        get, join = self.pieces.__getitem__, b"".join
+        self.chunks.update((c, get(parts[0]) if len(parts) == 1 else join(map(get, parts))) for c, parts in zip(plain, cut, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # Chunks but a text's first keep their leading space, so both kinds share a cache.
         lists = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else CUT.split(t) for t in texts]
-        self._learn({c for parts in lists for c in parts})
-        out = []
+        self._learn(set(chain.from_iterable(lists)))
+        get, join, out = self.chunks.__getitem__, b"".join, []
         for text, parts in zip(texts, lists, strict=True):
-            ids = list(map(self.chunks.__getitem__, parts))
-            out.append(b"".join(map(self._alone, CUT.split(text))) if None in ids else b"".join(ids))
+            try:
+                out.append(join(map(get, parts)))
+            except TypeError:  # a chunk that has None for its ids
+                out.append(join(map(self._alone, CUT.split(text))))
         return out
 
 
+#: The encoder of each vocabulary in this worker, kept from task to task.
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch, cut to a few MB, with its texts' ids and the end id."""
-    encoder, end = Encoder(path), np.asarray([end_id], "<u4").tobytes()
-    for batch in slices(batches, "text", 2 << 20):
+    encoder, end = encoder_of(path), np.asarray([end_id], "<u4").tobytes()
+    for batch in slices(batches, "text", 3 << 20):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         yield batch, [x + end for x in encoder.encode(texts)]
 
