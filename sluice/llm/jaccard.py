@@ -8,7 +8,7 @@
 3. Classes with equal prefix and size are one group. Groups that share a prefix shingle
    form a bucket. Round 1 is linear: each group of a bucket meets the bucket's most
    central group and one taken by hash. Pairs pass the size filter and a filter on
-   512-bit parity maps (the maps of two sets differ in at most as many bits as the sets
+   parity maps (the maps of two sets differ in at most as many bits as the sets
    in shingles, so no link is lost), are expanded to members and verified on whole sets.
 4. Round 2 is what makes it exact: buckets that round 1 left in more than one component
    are compared pair by pair, in blocks of bounded size spread over tasks, leaving out
@@ -44,7 +44,8 @@ BLOCK = 1024
 #: Candidate ids up to this many are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-MAP_WORDS = 8
+#: The least size of a parity map.
+MAP_BITS = 512
 
 
 def shingle_set(text: bytes | None, words: WordHashes, k: int) -> np.ndarray:
@@ -62,11 +63,25 @@ def prefix_sizes(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def parity_map(shingles: np.ndarray) -> bytes:
-    """MAP_WORDS * 64 bits: bit b is the parity of the shingles that fall on b."""
-    bits = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (MAP_WORDS * 64), minlength=MAP_WORDS * 64) & 1
+    """A bit for the parity of the shingles that fall on it: a power of two of bits, 512 or as many as shingles at least."""
+    size = max(MAP_BITS, 1 << (len(shingles) - 1).bit_length() if len(shingles) else 0)
+    bits = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(parity: bytes, size: int) -> bytes:
+    """The same map in `size` bytes: what falls together cancels out."""
+    if len(parity) == size:
+        return parity
+    return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint8).reshape(-1, size), axis=0).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two maps differ, in the size of the smaller one."""
+    size = min(len(a), len(b))
+    return (int.from_bytes(folded(a, size), "little") ^ int.from_bytes(folded(b, size), "little")).bit_count()
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     words = WordHashes()
     for batch in slices(batches, "text"):
@@ -80,7 +95,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values))
 
 
-def scan_sets(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray | None = None) -> DataFrame:
+def scan_sets(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray | None = None, with_maps: bool = True) -> DataFrame:
     """(doc_id, n, key, prefix, map, heat) of each document.
 
     hot: sorted hashes of the shingles that come last. heat: their share of the set in millionths.
@@ -102,7 +117,7 @@ def scan_sets(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray | Non
                     heat.append(0)
                     s_order = s
                 prefixes.append(s_order[:p])
-                maps.append(parity_map(s))
+                maps.append(parity_map(s) if with_maps else None)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(prefixes), pa.array(maps, pa.binary()), pa.array(heat, pa.int32())],
@@ -122,15 +137,10 @@ def filter_by_maps(pairs: DataFrame, num: int, den: int) -> DataFrame:
     schema = pairs.drop("map_a", "map_b").schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blank = bytes(MAP_WORDS * 8)
         for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("map_a", "map_b"))
-            known = np.array([x is not None and y is not None for x, y in zip(a, b, strict=True)], bool)
-            a, b = (np.frombuffer(b"".join(x or blank for x in col), np.uint64).reshape(-1, MAP_WORDS) for col in (a, b))
-            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            ok = ~known | (differ * (den + num) <= (den - num) * n)
-            yield batch.drop_columns(["map_a", "map_b"]).filter(pa.array(ok))
+            col = [batch.column(c).to_pylist() for c in ("map_a", "map_b", "na", "nb")]
+            ok = [x is None or y is None or bits_apart(x, y) * (den + num) <= (den - num) * (m + n) for x, y, m, n in zip(*col, strict=True)]
+            yield batch.drop_columns(["map_a", "map_b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.mapInArrow(keep, schema)
 
@@ -192,7 +202,8 @@ def exact_round(rows: DataFrame, num: int, den: int, block: int = BLOCK) -> Data
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _whole_runs(batches):
             col = {c: part.column(c).to_numpy(zero_copy_only=False) for c in ("token", "i", "j", "rep", "n", "component", "block")}
-            maps = np.frombuffer(b"".join(part.column("map").to_pylist()), np.uint64).reshape(-1, MAP_WORDS)
+            maps = part.column("map").to_pylist()
+            short = np.frombuffer(b"".join(folded(x, MAP_BITS // 8) for x in maps), np.uint64).reshape(-1, MAP_BITS // 64)
             new = np.flatnonzero(np.concatenate(([True], (np.diff(col["token"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0))))
             stop = np.append(new[1:], len(col["token"]))
             # A pair of unlike blocks takes pairs across them only; blocks of one bucket are paired alone elsewhere.
@@ -204,9 +215,13 @@ def exact_round(rows: DataFrame, num: int, den: int, block: int = BLOCK) -> Data
                 a, b = col["n"][i], col["n"][j]
                 ok = np.minimum(a, b) * den >= np.maximum(a, b) * num
                 i, j, n = i[ok], j[ok], (a + b)[ok]
-                differ = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
+                differ = np.bitwise_count(short[i] ^ short[j]).sum(axis=1, dtype=np.int64)
                 ok = differ * (den + num) <= (den - num) * n
-                x, y = col["rep"][i[ok]], col["rep"][j[ok]]
+                i, j, n = i[ok], j[ok], n[ok]
+                long = np.flatnonzero(n > 2 * MAP_BITS)
+                drop = [k for k in long.tolist() if bits_apart(maps[i[k]], maps[j[k]]) * (den + num) > (den - num) * n[k]]
+                i, j = np.delete(i, drop), np.delete(j, drop)
+                x, y = col["rep"][i], col["rep"][j]
                 found.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
                 if sum(map(len, found)) > 200_000:
                     found = [np.unique(np.concatenate(found), axis=0)]
@@ -243,7 +258,7 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id; links: Jaccard >= num / den."""
     spark = docs.sparkSession
-    first = save(scan_sets(docs, k, num, den).drop("map", "heat"), "sets1")
+    first = save(scan_sets(docs, k, num, den, with_maps=False).drop("map", "heat"), "sets1")
     classes = save(first.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     counted = first.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > HOT_COUNT)
     hot = np.array([r[0] for r in counted.orderBy(F.desc("count"), "token").limit(HOT_SHINGLES).select("token").collect()], np.int64).view(np.uint64)

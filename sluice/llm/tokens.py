@@ -1,10 +1,10 @@
 """Token ids of whole texts, and files of them.
 
-Encoder: the tokenizers library encodes each distinct chunk of text once for a worker,
-and a text's ids are the ids of its chunks. A chunk starts at the text's start or at a
-single space; both vocabularies' patterns always end a token before a space that
-follows a non-space, so encoding by chunks equals encoding whole texts. A text with a
-space between two other white-space characters is cut only where that holds.
+Encoder: the tokenizers library encodes each distinct piece of text once for a worker,
+and a text's ids are the ids of its pieces. Pieces end where both vocabularies' patterns
+always end a token: before a space that follows a non-space, between a letter and a sign,
+around a lone line end. Texts where runs of white space could make such a cut wrong are
+cut at the first kind of place only. So encoding by pieces equals encoding whole texts.
 
 File format: Parquet with one row a document (doc_id, start_in_file, n_tokens, ids as a
 list of ints), files and rows in ascending doc_id order. The ids' column is dictionary
@@ -26,8 +26,9 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,12 +37,12 @@ from tokenizers import Tokenizer
 
 from .common import save, scratch, slices, table
 
-#: Places where every token ends: before a space that follows a non-space; between a
-#: letter and these signs; before a line end that follows a sign, and after a lone one.
+#: A place where every token ends, in any text: before a space that follows a non-space.
 CUT = re.compile(r"(?<=\S)(?= )")
-INNER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!?;:#%&*$|\n])|(?<=[.,!?;:#%&*$|])(?=\n)|(?<=\S\n)(?=\S)")
-
-
+#: Others: between a letter and one of these signs, and around a lone line end after a sign.
+LETTER = "([A-Za-zÀ-ÖØ-öø-ÿ])"
+LETTER_SIGN, SIGN_ENDS = LETTER + "([.,!?;:])", (".\n", "!\n", "?\n", ",\n", ":\n")
+MARK = "\1"
 #: One word of Latin letters, with or without a space before it.
 WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
@@ -74,21 +75,34 @@ class Kept(dict):
         return new
 
 
+def pieces_of(texts: list[str]) -> list[list[str]]:
+    """Each text cut into pieces that are encoded apart. All but the first begin where a token does.
+
+    A lone space, or one before more white space, may stand at a wrong cut, since a run of
+    white space is one token but for its last character; the encoder looks for those.
+    """
+    marked = pc.replace_substring_regex(pa.array(texts, pa.large_string()), LETTER_SIGN, "\\1" + MARK + "\\2")
+    for end in SIGN_ENDS:
+        marked = pc.replace_substring(marked, end, end[0] + MARK + "\n")
+    marked = pc.replace_substring_regex(marked, MARK + "\n" + LETTER, MARK + "\n" + MARK + "\\1")
+    marked = pc.replace_substring(marked, " ", MARK + " ")
+    return [m.split(MARK) if MARK not in t else CUT.split(t) for m, t in zip(marked.to_pylist(), texts, strict=True)]
+
+
 class Encoder:
     """text -> ids as little-endian unsigned 32-bit integers, in bytes.
 
-    Chunks seen before come from a cache, and so do the pieces of new chunks. Pieces that
-    are plain words go to the tokenizer's model at once; for them the steps before it
-    only change case and drop or keep the space. Others are encoded many at a time with a
-    special token between them, whose id then parts the ids; the tokenizer treats what
-    lies between special tokens apart.
+    Pieces seen before come from a cache. New ones that are plain words go to the
+    tokenizer's model at once; for them the steps before it only change case and drop or
+    keep the space. Others are encoded many at a time with a special token between them,
+    whose id then parts the ids; the tokenizer treats what lies between special tokens apart.
     """
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.mark_id, self.mark = min((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
         self.danger = self.mark[0]
-        self.chunks, self.pieces = Kept(limit), Kept(limit)
+        self.pieces = Kept(limit)
         self.model, self.letters = self.tokenizer.model, byte_letters()
         # How this tokenizer treats a plain word, or None where neither way gives its ids.
         probe = ["a", " The", "Straße", " éÀ", "Ünterwords", " zzxqj"]
@@ -119,20 +133,10 @@ class Encoder:
             out.append(raw[last:])
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that no text had before."""
-        plain = []
-        for c in self.chunks.missing(chunks):
-            if self.danger in c or "\0" in c or "\1" in c:
-                self.chunks[c] = self._alone(c)  # may hold a special token
-            elif c == " " or c[1:2].isspace():
-                self.chunks[c] = None  # next to more white space, so the cut before it may be wrong
-            else:
-                plain.append(c)
-        if not plain:
-            return
-        cut = [c.split("\1") for c in INNER.sub("\1", "\0".join(plain)).split("\0")]
-        new = self.pieces.missing(set(chain.from_iterable(cut)))
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode the pieces that no text had before."""
+        new = self.pieces.missing(pieces)
+        words, other = [], new
         if self.way:
             lower, space = self.way
             words = [p for p in new if WORD.fullmatch(p)]
@@ -140,21 +144,26 @@ class Encoder:
                 words = [p for p in words if p.isascii() or p.lower().strip(" ").isalpha()]
             if words:
                 self.pieces.update(zip(words, self._words(words, lower, space), strict=True))
-            new = list(set(new).difference(words))
-        if new:
-            self.pieces.update(zip(new, self._ids(new), strict=True))
-        get, join = self.pieces.__getitem__, b"".join
-        self.chunks.update((c, get(parts[0]) if len(parts) == 1 else join(map(get, parts))) for c, parts in zip(plain, cut, strict=True))
+                other = set(new).difference(words)
+        plain = []
+        for p in other:
+            if p[:1] == " " and (p == " " or p[1].isspace()):
+                self.pieces[p] = None  # next to more white space, so the cut before it may be wrong
+            elif self.danger in p:
+                self.pieces[p] = self._alone(p)  # may hold a special token
+            else:
+                plain.append(p)
+        if plain:
+            self.pieces.update(zip(plain, self._ids(plain), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # Chunks but a text's first keep their leading space, so both kinds share a cache.
-        lists = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else CUT.split(t) for t in texts]
+        lists = pieces_of(texts)
         self._learn(set(chain.from_iterable(lists)))
-        get, join, out = self.chunks.__getitem__, b"".join, []
+        get, join, out = self.pieces.__getitem__, b"".join, []
         for text, parts in zip(texts, lists, strict=True):
             try:
                 out.append(join(map(get, parts)))
-            except TypeError:  # a chunk that has None for its ids
+            except TypeError:  # a piece that has None for its ids
                 out.append(join(map(self._alone, CUT.split(text))))
         return out
 
