@@ -122,6 +122,36 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
 
 
+def _sql_count(text: str, characters: str) -> str:
+    return f"(length({text}) - length(translate({text}, {_sql_text(characters)}, '')))"
+
+
+def _sql_text(characters: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in characters)
+
+
+OP5_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+     w AS (SELECT doc_id, x, list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda s: s <> '') AS ws FROM t),
+     win AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) AS s FROM w),
+     twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+     rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY 1),
+     cut AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, unnest(range(len(string_split(x, chr(10))))) AS i FROM t),
+     li AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda s: s <> '') AS lw, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM cut),
+     judged AS (SELECT doc_id, len(lw) AS n, again, len(lw) > 0 AS full_line, again
+         OR {_sql_count('line', SIGNS)} * 100 > length(line) * 15
+         OR length(line) >= 12 AND {_sql_count('line', CAPITALS)} * 100 > (length(line) - {_sql_count('line', SPACES)}) * 60
+         OR regexp_matches(lower(line), '{"|".join(PHRASES)}')
+         OR len(list_filter(range(2, len(lw) + 1), lambda k: lw[k] = lw[k - 1])) * 100 > len(lw) * 30
+         OR {_sql_count('line', SEPARATORS)} >= 2 AND {_sql_count('line', SEPARATORS)} * 4 >= len(lw) AS bad FROM li),
+     s AS (SELECT doc_id, count(*) FILTER (WHERE full_line) AS n_lines, count(*) FILTER (WHERE full_line AND bad) AS n_bad_lines, count(*) FILTER (WHERE full_line AND again) AS n_dup_lines,
+         coalesce(sum(n) FILTER (WHERE full_line AND NOT bad), 0)::BIGINT AS n_kept_words FROM judged GROUP BY 1),
+     b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(translate(x, {_sql_text(SPACES)}, ''))::BIGINT AS word_chars, {_sql_count('x', SYMBOLS)}::BIGINT AS n_symbols, s.n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+         s.n_lines, s.n_bad_lines, s.n_kept_words FROM w JOIN s ON s.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_kept_words >= 0.5 * n_words AS kept FROM b
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, with their cleaned text, under their own columns."""
     rows = clean(docs).where("kept").withColumn("text", F.col("clean_text"))

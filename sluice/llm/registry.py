@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": warc.OP1_SQL, "op8_url_filters": url_filters.OP8_SQL}
+    return {"op1_warc_revisits": warc.OP1_SQL, "op5_quality_rules": quality_rules.OP5_SQL, "op8_url_filters": url_filters.OP8_SQL}
