@@ -12,7 +12,7 @@
    in shingles, so no link is lost), are expanded to members and verified on whole sets.
 4. Round 2 is what makes it exact: buckets that round 1 left in more than one component
    are compared pair by pair, in blocks of bounded size spread over tasks, leaving out
-   pairs that are connected already. So large groups of near copies, which
+   pairs that are connected already, and pairs whose prefixes share too few shingles. So large groups of near copies, which
    round 1 connects, never cost their square, and nothing is capped or dropped.
 
 Only pairs that pass the filters leave a task. The driver sees counts and at most
@@ -46,6 +46,8 @@ BROADCAST_IDS = 400_000
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The least size of a parity map.
 MAP_BITS = 512
+#: The size to which round 2 folds them for its buckets.
+FOLD_BYTES = 16
 
 
 def shingle_set(text: bytes | None, words: WordHashes, k: int) -> np.ndarray:
@@ -96,7 +98,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def scan_sets(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray | None = None, with_maps: bool = True) -> DataFrame:
-    """(doc_id, n, key, prefix, map, heat) of each document.
+    """(doc_id, n, key, prefix, map, fold, heat) of each document; fold: the map in FOLD_BYTES bytes.
 
     hot: sorted hashes of the shingles that come last. heat: their share of the set in millionths.
     """
@@ -120,11 +122,11 @@ def scan_sets(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray | Non
                 maps.append(parity_map(s) if with_maps else None)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(prefixes), pa.array(maps, pa.binary()), pa.array(heat, pa.int32())],
-                names=["doc_id", "n", "key", "prefix", "map", "heat"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(prefixes), pa.array(maps, pa.binary()), pa.array([m and folded(m, FOLD_BYTES) for m in maps], pa.binary()), pa.array(heat, pa.int32())],
+                names=["doc_id", "n", "key", "prefix", "map", "fold", "heat"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n long, key binary, prefix array<long>, map binary, heat int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n long, key binary, prefix array<long>, map binary, fold binary, heat int")
 
 
 def _linkable(a: str, b: str, num: int, den: int):
@@ -188,51 +190,53 @@ def _pairs_of_runs(at: np.ndarray, stop: np.ndarray, block: np.ndarray) -> Itera
 
 
 def exact_round(rows: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """rows (token, rep, n, component, map): candidate pairs (a, b) of different components.
+    """rows (token, rep, n, component, fold) -> candidate pairs (a, b, na, nb) of different components.
 
-    A bucket over `block` rows is cut into blocks, and each pair of blocks is a key of its own.
+    A bucket over `block` rows is cut into blocks, and each pair of blocks is a key of its
+    own. Pairs are counted over all shingles that their prefixes share. What two sets share
+    beyond the prefix that ends first is at most the rest of that set, so a pair whose
+    count is too small for that is out.
     """
     counts = rows.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = rows.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other)
-    rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "n", "component", "map", "block")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "n", "component", "fold", "block")
     rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "block")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _whole_runs(batches):
-            col = {c: part.column(c).to_numpy(zero_copy_only=False) for c in ("token", "i", "j", "rep", "n", "component", "block")}
-            maps = part.column("map").to_pylist()
-            short = np.frombuffer(b"".join(folded(x, MAP_BITS // 8) for x in maps), np.uint64).reshape(-1, MAP_BITS // 64)
+            col = {c: part.column(c).to_numpy() for c in ("token", "i", "j", "rep", "n", "component", "block")}
+            fold = np.frombuffer(b"".join(part.column("fold").to_pylist()), np.uint64).reshape(-1, FOLD_BYTES // 8)
             new = np.flatnonzero(np.concatenate(([True], (np.diff(col["token"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0))))
-            stop = np.append(new[1:], len(col["token"]))
-            # A pair of unlike blocks takes pairs across them only; blocks of one bucket are paired alone elsewhere.
-            found = []
-            for i, j in _pairs_of_runs(new, stop, col["block"]):
-                ok = col["component"][i] != col["component"][j]
-                ok &= (col["i"][i] == col["j"][i]) | (col["block"][i] != col["block"][j])
+            found, held = [], 0
+            for i, j in _pairs_of_runs(new, np.append(new[1:], len(col["token"])), col["block"]):
+                # A pair of unlike blocks takes pairs across them only.
+                ok = (col["component"][i] != col["component"][j]) & ((col["i"][i] == col["j"][i]) | (col["block"][i] != col["block"][j]))
                 i, j = i[ok], j[ok]
-                a, b = col["n"][i], col["n"][j]
-                ok = np.minimum(a, b) * den >= np.maximum(a, b) * num
-                i, j, n = i[ok], j[ok], (a + b)[ok]
-                differ = np.bitwise_count(short[i] ^ short[j]).sum(axis=1, dtype=np.int64)
-                ok = differ * (den + num) <= (den - num) * n
-                i, j, n = i[ok], j[ok], n[ok]
-                long = np.flatnonzero(n > 2 * MAP_BITS)
-                drop = [k for k in long.tolist() if bits_apart(maps[i[k]], maps[j[k]]) * (den + num) > (den - num) * n[k]]
-                i, j = np.delete(i, drop), np.delete(j, drop)
-                x, y = col["rep"][i], col["rep"][j]
-                found.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
-                if sum(map(len, found)) > 200_000:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-                    if len(found[0]) > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], names=["a", "b"])
-                        found = []
-            if found:
-                out = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
-
-    return rows.mapInArrow(pair, "a long, b long").where(F.col("a") != F.col("b")).distinct()
+                m, n = col["n"][i], col["n"][j]
+                ok = np.minimum(m, n) * den >= np.maximum(m, n) * num
+                i, j, n = i[ok], j[ok], (m + n)[ok]
+                ok = np.bitwise_count(fold[i] ^ fold[j]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * n
+                i, j = i[ok], j[ok]
+                swap = col["rep"][i] > col["rep"][j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                found.append(np.stack([col["rep"][i], col["rep"][j], col["n"][i], col["n"][j]], axis=1))
+                held += len(i)
+                if held > 400_000:
+                    yield _counted(found)
+                    found, held = [], 0
+            if held:
+                yield _counted(found)
+
+    pairs = rows.mapInArrow(pair, "a long, b long, na long, nb long, shared long").where(F.col("a") != F.col("b"))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    rest = F.ceil(F.greatest("na", "nb") * num / den) - 1
+    return pairs.where((F.col("shared") + rest) * (den + num) >= (F.col("na") + F.col("nb")) * num).drop("shared")
+
+
+def _counted(found: list[np.ndarray]) -> pa.RecordBatch:
+    rows, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(4)), pa.array(n.astype(np.int64))], names=["a", "b", "na", "nb", "shared"])
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -258,7 +262,7 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id; links: Jaccard >= num / den."""
     spark = docs.sparkSession
-    first = save(scan_sets(docs, k, num, den, with_maps=False).drop("map", "heat"), "sets1")
+    first = save(scan_sets(docs, k, num, den, with_maps=False).drop("map", "fold", "heat"), "sets1")
     classes = save(first.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     counted = first.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > HOT_COUNT)
     hot = np.array([r[0] for r in counted.orderBy(F.desc("count"), "token").limit(HOT_SHINGLES).select("token").collect()], np.int64).view(np.uint64)
@@ -269,15 +273,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     groups = members.groupBy("prefix_key", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("size"), F.min_by("map", "rep").alias("map"), F.min_by("heat", "rep").alias("heat"), F.min_by("prefix", "rep").alias("prefix"))
     groups = save(groups.withColumn("map", F.when(F.col("size") == 1, F.col("map"))), "groups")
 
-    # Buckets of two classes or more, with the groups that round 1 compares the others to.
+    # Buckets of two classes or more: most shingles have one, and a plain count finds those first.
     index = groups.select(F.explode("prefix").alias("token"), "gid", "n", "heat", "size")
+    many = index.groupBy("token").agg(F.sum("size").alias("s")).where(F.col("s") > 1).select("token")
+    shared = save(index.drop("size").join(many, "token"), "shared")
+    # The groups of a bucket that round 1 compares the others to.
     entry = F.struct("gid", "n")
-    heads = (
-        index.groupBy("token")
-        .agg(F.sum("size").alias("s"), F.max(F.struct("heat", (-F.col("gid")).alias("o"), entry.alias("e")))["e"].alias("lead"), F.min(F.struct(F.xxhash64("token", "gid").alias("o"), entry.alias("e")))["e"].alias("any"))
-        .where(F.col("s") > 1).drop("s")
-    )
-    buckets = save(index.drop("heat", "size").join(heads, "token"), "buckets")
+    heads = shared.groupBy("token").agg(
+        F.max(F.struct("heat", (-F.col("gid")).alias("o"), entry.alias("e")))["e"].alias("lead"),
+        F.min(F.struct(F.xxhash64("token", "gid").alias("o"), entry.alias("e")))["e"].alias("any"),
+    )
+    buckets = save(shared.drop("heat").join(heads, "token"), "buckets")
     met = buckets.select(F.col("gid").alias("g"), F.col("n").alias("na"), F.explode(F.array("lead", "any")).alias("h"))
     met = met.where((F.col("g") != F.col("h.gid")) & _linkable("na", "h.n", num, den)).select("g", "na", F.col("h.gid").alias("h"), F.col("h.n").alias("nb")).distinct()
     maps = groups.select("gid", "map")
@@ -292,13 +298,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     known = save(components(links), "components")
 
     # Round 2: buckets whose members are not all connected.
-    member = members.select("rep", "map", "prefix_key", "n").join(known.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    member = members.select("rep", "map", "fold", "prefix_key", "n").join(known.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     member = member.join(groups.select("prefix_key", "n", "gid"), ["prefix_key", "n"])
-    member = save(member.select("gid", "rep", "n", "component", "map"), "placed")
+    member = save(member.select("gid", "rep", "n", "component", "map", "fold"), "placed")
     ends = member.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     opened = buckets.select("token", "gid").join(ends, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("low") != F.col("high")).select("token")
-    rows = buckets.select("token", "gid").join(opened, "token").join(member, "gid").drop("gid")
-    more = verify(docs, exact_round(rows, num, den), k, num, den)
+    fold = member.select("gid", "rep", "n", "component", "fold")
+    rows = buckets.select("token", "gid").join(opened, "token").join(fold, "gid").drop("gid")
+    close = exact_round(rows, num, den)
+    maps = member.select("rep", "map")
+    close = filter_by_maps(close.join(maps.toDF("a", "map_a"), "a").join(maps.toDF("b", "map_b"), "b"), num, den)
+    more = verify(docs, close.select("a", "b").distinct(), k, num, den)
     links = links.union(more)
     found = components(links)
 

@@ -23,6 +23,8 @@ MEASURES) from its input.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,38 +48,44 @@ def count_of(text: Column, characters: str) -> Column:
 def repeat_words(ws: Column, width: int = 5) -> Column:
     """How many words lie in windows of `width` words that occur twice or more, the first included.
 
-    Windows are compared as text (words hold no space). Most texts have none twice,
-    which a hash set shows; for the others equal windows are brought together by a sort
-    and the covered words are summed over the sorted starts.
+    Most texts have no window twice: then all their hashes differ. For the others the
+    windows themselves are compared as text (words hold no space): equal ones are brought
+    together by a sort and the covered words are summed over the sorted starts.
     """
-    windows = F.transform(F.sequence(F.lit(1), F.size(ws) - width + 1), lambda i: F.concat_ws(" ", F.slice(ws, i, width)))
+    starts_at = F.sequence(F.lit(1), F.size(ws) - width + 1)
+    hashes = F.transform(starts_at, lambda i: F.xxhash64(F.slice(ws, i, width)))
+    windows = F.transform(starts_at, lambda i: F.concat_ws(" ", F.slice(ws, i, width)))
 
     def covered(sorted_: Column) -> Column:
         twice = F.filter(sorted_, lambda x, i: F.coalesce(F.get(sorted_, i - 1)["w"] == x["w"], F.lit(False)) | F.coalesce(F.get(sorted_, i + 1)["w"] == x["w"], F.lit(False)))
         starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
         return let(starts, lambda s: F.aggregate(s, F.struct(F.lit(0).alias("n"), F.lit(-width).alias("end")), lambda a, p: F.struct((a["n"] + width - F.greatest(F.lit(0), a["end"] - p)).alias("n"), (p + width).alias("end")), lambda a: a["n"]))
 
-    def of(wins: Column) -> Column:
-        placed = F.sort_array(F.transform(wins, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(wins)) == F.size(wins), 0).otherwise(let(placed, covered))
+    placed = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    no_two = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+    return F.when(F.size(ws) < width + 1, 0).when(no_two, 0).otherwise(let(placed, covered))
+
 
-    return F.when(F.size(ws) < width + 1, 0).otherwise(let(windows, of))
+def has_phrase(text: Column) -> Column:
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [low.contains(p) for p in PHRASES]))
 
 
-def bad_line(line: Column) -> Column:
-    """Whether a line fails on its own (repeated lines are seen to where lines are together)."""
+def bad_line(line: Column, text: dict[str, Column]) -> Column:
+    """Whether a line fails on its own (repeated lines are seen to where lines are together).
+
+    text: whether the whole text has any signs, phrases, separators, or a word twice
+    running; what the text has not, its lines need not be searched for.
+    """
     n = F.length(line)
-    signs = count_of(line, SIGNS) * 100 > n * 15
+    signs = text["signs"] & (count_of(line, SIGNS) * 100 > n * 15)
     shouted = (n >= 12) & (count_of(line, CAPITALS) * 100 > (n - count_of(line, SPACES)) * 60)
-    phrase = F.lower(line).rlike("|".join(PHRASES))
 
-    def by_words(ws: Column) -> Column:
+    def repeats(ws: Column) -> Column:
         same = F.zip_with(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.size(ws)), lambda a, b: a == b)
-        repeats = F.size(F.filter(same, lambda x: x)) * 100 > F.size(ws) * 30
-        bars = count_of(line, SEPARATORS)
-        return repeats | ((bars >= 2) & (bars * 4 >= F.size(ws)))
+        return F.size(F.filter(same, lambda x: x)) * 100 > F.size(ws) * 30
 
-    return signs | shouted | phrase | let(words(line), by_words)
+    menu = text["bars"] & let(count_of(line, SEPARATORS), lambda bars: (bars >= 2) & (bars * 4 >= F.size(words(line))))
+    return signs | shouted | (text["phrases"] & has_phrase(line)) | menu | (text["stutters"] & let(words(line), repeats))
 
 
 def clean(docs: DataFrame, max_loss: float = 0.5) -> DataFrame:
@@ -88,7 +96,13 @@ def clean(docs: DataFrame, max_loss: float = 0.5) -> DataFrame:
     full = F.filter("_lines", has_word)
     rows = rows.withColumn("_full", full).withColumn("_distinct", F.array_distinct("_full"))
     # Lines are judged once each; copies of an earlier line are bad by that alone.
-    rows = rows.withColumn("_bad", F.filter("_distinct", bad_line))
+    ws = F.col("_words")
+    flags = {
+        "signs": count_of(text, SIGNS) > 0, "bars": count_of(text, SEPARATORS) > 1, "phrases": has_phrase(text),
+        "stutters": F.exists(F.zip_with(ws, F.slice(ws, F.lit(2), F.greatest(F.size(ws), F.lit(1))), lambda a, b: a.eqNullSafe(b)), lambda x: x),
+    }
+    rows = rows.withColumns({f"_{k}": v for k, v in flags.items()})
+    rows = rows.withColumn("_bad", F.filter("_distinct", lambda x: bad_line(x, {k: F.col(f"_{k}") for k in flags})))
     some_twice = F.size("_full") != F.size("_distinct")
     first_at = F.transform(F.col("_lines"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     ordered = let(F.sort_array(first_at), lambda s: F.transform(F.filter(s, lambda y, k: F.coalesce(F.get(s, k - 1)["x"] == y["x"], F.lit(False)) & has_word(y["x"])), lambda y: y["i"]))
@@ -115,7 +129,7 @@ def clean(docs: DataFrame, max_loss: float = 0.5) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     enough = F.col("n_kept_words") >= (1 - max_loss) * F.col("n_words")
-    return rows.withColumn("kept", ~F.col("base_failed") & enough).drop("_words", "_lines", "_full", "_distinct", "_bad", "_again", "_keep")
+    return rows.withColumn("kept", ~F.col("base_failed") & enough).drop("_words", "_lines", "_full", "_distinct", "_bad", "_again", "_keep", *[f"_{k}" for k in flags])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +168,8 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NO
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, with their cleaned text, under their own columns."""
-    rows = clean(docs).where("kept").withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    row = F.struct(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    # Each row goes as an array of one or none: a filter on `kept` would be pushed below
+    # the measures, with all of their expressions copied into it.
+    return clean(docs).select(F.inline(F.when(F.col("kept"), F.array(row))))
