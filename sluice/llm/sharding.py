@@ -1,8 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Rows are grouped by equal texts. A group is placed whole, so copies stay together,
-unless it is hot: a group over 1/SPLIT of a shard's share in any dimension is split
-by a hash of its ids into parts under that size. All other groups are gathered by a
+unless it is hot: a group of more than FEW rows and over 1/SPLIT of a shard's share in any
+dimension is split by a hash of its ids into parts under that size. All other groups are gathered by a
 hash of their text into CELLS cells. So the packer sees at most
 CELLS + 2 * SPLIT * shards * 3 items whatever the corpus holds, each a sum of
 (bytes, tokens, rows); only those sums reach the driver. The packer takes the items
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import ranked, save, table, words
 
 CELLS = 16_384
-SPLIT = 64
+SPLIT = 4
+#: Groups of so few rows are never split.
+FEW = 4
 DIMS = ("size", "n_tokens", "n_rows")
 
 
@@ -64,7 +66,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, cells: int = CELLS, split:
     sums = [F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")]
     parts = F.greatest(*[F.ceil(F.col(c) / F.lit(limit[c])) for c in DIMS])
     # Groups over the limit: at most 3 * shards * split of them, as each fills that share of one dimension.
-    hot = rows.groupBy("digest").agg(*sums).withColumn("parts", parts).where((F.col("parts") > 1) & (F.col("n_rows") > 1)).select(F.col("digest").alias("hot_digest"), "parts")
+    hot = rows.groupBy("digest").agg(*sums).withColumn("parts", parts).where((F.col("parts") > 1) & (F.col("n_rows") > FEW)).select(F.col("digest").alias("hot_digest"), "parts")
     joined = rows.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
     salt = F.pmod(F.xxhash64("doc_id"), F.least(F.col("parts"), F.lit(split * shards)))
     cell = F.format_string("c%d", F.pmod(F.xxhash64("digest"), F.lit(cells)))

@@ -25,12 +25,12 @@ def test_small_documents_are_balanced(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = sharding.op4_vector_shards(spark, small).collect()
     sizes, slots = check_shards(rows, got)
-    assert max(sizes.values()) <= 1.1 * sum(sizes.values()) / 16
+    assert max(sizes.values()) <= 1.15 * max(sum(sizes.values()) / 16, max(r["size"] for r in got))
     text = {r[0]: r[1] for r in rows}
     where = defaultdict(set)
     for r in got:
         where[text[r["doc_id"]]].add(r["shard"])
-    assert sum(len(s) > 1 for s in where.values()) <= 3  # only groups over the limit are split
+    assert all(len(s) == 1 for s in where.values())
 
 
 def test_hot_group_is_split_and_odd_rows_are_kept(spark, tmp_path):
