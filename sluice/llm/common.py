@@ -107,19 +107,22 @@ def counted_at_most(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], name: str, per_bucket: int = 100_000) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str, per_bucket: int = 100_000, by: str | None = None) -> DataFrame:
     """df with a column `name`: each row's place in its group, from 0 and without gaps.
 
     A group may hold any share of the rows, so it is dealt over hash buckets of
     `order` first: places are counted inside a bucket, and the buckets of a group get
     their first places from the (group, bucket) counts. No task holds a whole group.
-    The place is stable for given rows; only rows equal in `order` may swap.
+    The place is stable for given rows; only rows equal in `order` may swap. Places follow
+    `order` inside a bucket only, unless `by`, an integer column without nulls that leads
+    `order`, is given: buckets then are ranges of it, and places follow `order` throughout.
     """
-    rows = df.count()
-    buckets = max(1, -(-rows // per_bucket))
-    if buckets == 1:
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long") - 1)
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    size = df.agg(F.count("*"), *([F.min(by), F.max(by)] if by else [])).first()
+    buckets = max(32, -(-size[0] // per_bucket))
+    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
+    if by and size[0]:
+        bucket = F.floor((F.col(by).cast("decimal(38,0)") - F.lit(size[1]).cast("decimal(38,0)")) / max(1, -(-(size[2] - size[1] + 1) // buckets)))
+    df = df.withColumn("_bucket", bucket.cast("long"))
     counts = df.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
     first = counts.select(
         *[F.col(c).alias(f"_g{k}") for k, c in enumerate(group)], F.col("_bucket").alias("_b"),
