@@ -4,8 +4,10 @@ Words are maximal runs of letters and digits, lower-cased. Fixed masks pick six
 a window and ignore the others; equal picks in a benchmark item and a text are a hit.
 The masks of MASKS hit every overlap of 12 words with at most two of them substituted,
 wherever those stand (the test counts all cases). Around each hit, item and text are
-laid side by side without gaps and the best stretch is sought (a substitution costs
-three matching words); it counts from `min_words` words and `percent` equal words on.
+laid side by side without gaps: every window of `min_words` words or more with `percent`
+equal words counts, and windows that meet are one stretch. All stretches are given, each
+from its first to its last equal word, so substituted words at its ends are not in its
+length. Longer overlaps with three or more substitutions are found where a mask hits.
 
 The benchmark's hashes are the small side: items go in blocks of at most BLOCK_WORDS
 words, and each block's table is sent to the tasks and every text is held against it.
@@ -13,8 +15,9 @@ So memory is bounded for benchmarks of any size, there is no shuffle of the text
 a passage or item that very many texts share costs each text its own hit only.
 
 Defined results: null and empty texts hold nothing. Items of fewer than MIN_ITEM words
-can't be told from chance and are left out; items under `min_words` words must be met
-over MIN_ITEM words or more. Repeated rows are judged alike; null doc_ids stay null. An
+can't be told from chance and are left out. Shorter items than need `min_words` words are
+met over `percent` of their words, MIN_ITEM at least: as exact runs always, with
+substitutions where a mask hits. Repeated rows are judged alike; null doc_ids stay null. An
 empty table of documents or items gives no rows. Extra columns are kept by `remove`.
 """
 
@@ -84,29 +87,34 @@ class SeedTable:
                 out.update((i, place - p) for i, p in zip(item[a:b].tolist(), at[a:b].tolist(), strict=True))
         return out
 
-    def best(self, words: np.ndarray, item: int, shift: int) -> tuple[int, int, int, int] | None:
-        """(text start, item start, length, equal words) of the best stretch on a diagonal, if it counts."""
+    def stretches(self, words: np.ndarray, item: int, shift: int) -> list[tuple[int, int, int, int]]:
+        """(text start, item start, length, equal words) of all stretches on a diagonal that count.
+
+        Windows of n to 2n - 1 words are enough: a longer one that counts has a half that does.
+        """
         own = self.words[item]
         a, b = max(0, -shift), min(len(own), len(words) - shift)
         same = own[a:b] == words[a + shift : b + shift]
-        score = np.concatenate(([0], np.cumsum(np.where(same, 1, -3))))
-        least = np.minimum.accumulate(score)
-        end = int(np.argmax(score - least))
-        start = int(np.flatnonzero(score[: end + 1] == least[end])[-1])
-        whole = int(same.sum())
-        if b - a >= MIN_ITEM and 100 * whole >= self.percent * (b - a):  # the whole overlap counts, so no part of it is better
-            start, end = 0, b - a
-        n, equal = end - start, int(same[start:end].sum())
-        if n < min(self.min_words, max(MIN_ITEM, len(own) * self.percent // 100)) or 100 * equal < self.percent * n:
-            return None
-        return a + start + shift, a + start, n, equal
+        total = np.concatenate(([0], np.cumsum(same)))
+        least = min(self.min_words, max(MIN_ITEM, len(own) * self.percent // 100))
+        edges = np.zeros(b - a + 1, np.int64)
+        for n in range(least, min(2 * least - 1, b - a) + 1):
+            counts = 100 * (total[n:] - total[:-n]) >= self.percent * n
+            edges[: len(counts)] += counts
+            edges[n:] -= counts
+        step = np.diff((np.cumsum(edges) > 0).astype(np.int8), prepend=0)
+        out = []
+        for low, high in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
+            equal = np.flatnonzero(same[low:high])
+            start, n = low + int(equal[0]), int(equal[-1] - equal[0]) + 1
+            out.append((a + start + shift, a + start, n, len(equal)))
+        return out
 
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item_id, doc_start, item_start, length, n_equal) of all that count."""
         out = []
         for item, shift in sorted(self.hits(words)):
-            if found := self.best(words, item, shift):
-                out.append((self.ids[item], *found))
+            out.extend((self.ids[item], *found) for found in self.stretches(words, item, shift))
         return out
 
 

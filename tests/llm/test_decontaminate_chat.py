@@ -15,6 +15,25 @@ def test_masks_hit_all_overlaps_of_twelve_words_with_two_substitutions():
         assert any(not any(p + o in gone for o in mask) for mask in dc.MASKS for p in range(12 - mask[-1]))
 
 
+def test_verification_keeps_all_overlaps_of_masks_inside_a_longer_item():
+    own, other = [f"w{k}" for k in range(100)], [f"x{k}" for k in range(100)]
+    seeds, words = dc.SeedTable([(7, " ".join(own))], 12, 80), dc.Words()
+    for n, most in ((12, 2), (13, 2), (15, 2), (20, 2)):
+        for gone in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in range(most + 1)):
+            part = [f"sub{k}" if k in gone else own[40 + k] for k in range(n)]
+            left = [k for k in range(n) if k not in gone]
+            found = seeds.overlaps(words.of(" ".join(other[:30] + part + other[30:])))
+            assert found == [(7, 30 + left[0], 40 + left[0], left[-1] - left[0] + 1, len(left))], (n, gone)
+
+
+def test_all_stretches_of_a_diagonal_are_given():
+    own, other = [f"w{k}" for k in range(100)], [f"x{k}" for k in range(100)]
+    seeds, words = dc.SeedTable([(7, " ".join(own))], 12, 80), dc.Words()
+    found = seeds.overlaps(words.of(" ".join(own[:20] + other[:30] + own[50:65] + other[30:])))
+    assert found == [(7, 0, 0, 20, 20), (7, 50, 50, 15, 15)]
+    assert seeds.overlaps(words.of(" ".join(other[:30] + own[40:49] + other[30:]))) == []
+
+
 def test_planted_passages_are_found_and_others_left(spark, small):
     rng = random.Random(2)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
