@@ -445,9 +445,14 @@ def _(spark, sf):
     return tables.read(spark, sf, "pages").where(u.isNotNull()).select("page_id", web.host(u).alias("host"), web.origin(u).alias("origin"), F.size(web.segments(u)).cast("long").alias("n_segments"))
 
 
-def _deliveries(spark, sf) -> DataFrame:
-    """Drain deliveries of ten events each: a third as JSON arrays, a third as lines, a third as single objects."""
+def _deliveries(spark, sf, whole: bool = False) -> DataFrame:
+    """Drain deliveries of ten events each: a third as JSON arrays, a third as lines, a third as single objects.
+
+    A single object is the first of its ten events, or if `whole`, each event is a delivery of its own (keys under 0).
+    """
     e = tables.web_events(spark, sf).where(F.col("source_id") == "src_drain").withColumn("delivery_id", F.floor(F.col("event_id") / 10))
+    if whole:
+        e = e.withColumn("delivery_id", F.when(F.col("delivery_id") % 3 == 2, -1 - F.col("event_id")).otherwise(F.col("delivery_id")))
     name = F.when(F.col("event_name") == "page_view", "pageview").otherwise("custom")
     event = F.struct(
         name.alias("eventType"), F.when(F.col("event_name") != "page_view", F.col("event_name")).alias("eventName"), F.concat(F.lit('{"id":"'), F.col("event_id"), F.lit('"}')).alias("eventData"),
@@ -456,7 +461,7 @@ def _deliveries(spark, sf) -> DataFrame:
     json = F.to_json("e")
     rows = e.select("delivery_id", F.struct("event_id", event.alias("e")).alias("s")).groupBy("delivery_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
     lines = F.transform("s", lambda x: F.to_json(x["e"]))
-    k = F.col("delivery_id") % 3
+    k = F.when(F.col("delivery_id") < 0, 2).otherwise(F.col("delivery_id") % 3)
     body = F.when(k == 0, F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]"))).when(k == 1, F.array_join(lines, "\n")).otherwise(lines[0])
     return rows.select("delivery_id", body.alias("body"))
 
@@ -475,6 +480,20 @@ def _(spark, sf):
     return payloads.drain_events(payloads.parse_bodies(_deliveries(spark, sf)), F.lit("https://site.example"))
 
 
+# The same over every drain event.
+DRAIN_ALL_SQL = f"""{WEB_EVENTS}, d AS (SELECT *, CASE WHEN event_id // 10 % 3 = 2 THEN -1 - event_id ELSE event_id // 10 END AS delivery_id FROM web_events WHERE source_id = 'src_drain'), k AS (SELECT *, row_number() OVER (PARTITION BY delivery_id ORDER BY event_id) - 1 AS position FROM d)"""
+
+
+@query("drain_body_parse_all", _SQL["drain_body_parse"].replace(DRAIN_SQL, DRAIN_ALL_SQL))
+def _(spark, sf):
+    return payloads.parse_bodies(_deliveries(spark, sf, True)).groupBy("delivery_id").agg(F.count("*").alias("n"))
+
+
+@query("drain_mapping_all", _SQL["drain_mapping"].replace(DRAIN_SQL, DRAIN_ALL_SQL))
+def _(spark, sf):
+    return payloads.drain_events(payloads.parse_bodies(_deliveries(spark, sf, True)), F.lit("https://site.example"))
+
+
 # Sources' state
 
 
