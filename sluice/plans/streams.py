@@ -22,11 +22,12 @@ def shared_folder(spark) -> str:
 
 
 def rolled_up(spark, events: DataFrame, batches: int = 4) -> DataFrame:
-    """Land the log in ingestion order, one write after the other, then roll it up batch by batch."""
+    """Land the log in ingestion order, part by part; the stream takes each part as one batch and is started anew for the next."""
     base = shared_folder(spark)
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     step = 1 if low is None else (high - low) // batches + 1
     for k in range(batches if low is not None else 1):
         part = events if low is None else events.where(F.col("event_id").between(low + k * step, low + (k + 1) * step - 1))
-        part.coalesce(1).write.mode("append").parquet(f"{base}/log")
-    return rollup.run(spark, f"{base}/log", events.schema, base)
+        part.write.mode("append").parquet(f"{base}/log")
+        rolled = rollup.run(spark, f"{base}/log", events.schema, base, None)
+    return rolled

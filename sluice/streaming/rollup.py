@@ -3,13 +3,17 @@
 `run` reads event files as they come, merges each micro-batch's new log rows into the
 state tables in the shared folder and ends when there is no more input (or goes on, by
 trigger). First-seen identities are looked up in the state, as in the batch roll-up, so
-the result equals it; a batch that is run again finds its own marker and changes nothing.
+the result equals it. What a batch writes is in a folder of its attempt, and counts from
+the marker on that is written last: a restart goes on from the last marker, a batch that
+is run again finds its own marker and changes nothing, and one that failed midway is done
+anew. Markers and checkpoint belong together, both in the state folder.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,31 +32,56 @@ def batch_delta(events: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFram
     return hashed(counters(events).unionByName(uniques)), first.select(*key)
 
 
-def run(spark: SparkSession, input_dir: str, schema: T.StructType, state_dir: str, files_per_batch: int = 1) -> DataFrame:
-    """Roll up the event files under input_dir and return the metrics table.
+SEEN = "source_id string, day date, kind string, identity string"
+
+
+def committed(spark: SparkSession, state_dir: str) -> list[tuple[int, str]]:
+    """(number, folder) of the batches with a marker, in order."""
+    try:
+        rows = spark.read.schema("number long, path string").parquet(f"{state_dir}/done/*").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = []
+    return sorted((r["number"], r["path"]) for r in rows)
 
-    Each batch writes a new version of the metrics and appends the identities it saw;
-    the version before is read, so a lost batch leaves the last whole version in place.
-    """
-    versions: list[str] = []
-    seen_schema = T.StructType([T.StructField("source_id", T.StringType()), T.StructField("day", T.DateType()), T.StructField("kind", T.StringType()), T.StructField("identity", T.StringType())])
 
-    def merge(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        session = batch.sparkSession
-        seen = session.read.schema(seen_schema).parquet(f"{state_dir}/seen/*") if versions else session.createDataFrame([], seen_schema)
+def merge(batch: DataFrame, number: int, state_dir: str) -> None:
+    """Add a batch to the state, unless it is in it."""
+    session = batch.sparkSession
+    done = committed(session, state_dir)
+    if number in dict(done):
+        return
+    before = [path for n, path in done if n < number]
+    batch = batch.persist()
+    try:
+        seen = session.read.schema(SEEN).parquet(*[f"{p}/seen" for p in before]) if before else session.createDataFrame([], SEEN)
         delta, new = batch_delta(batch, seen)
-        new.write.mode("overwrite").parquet(f"{state_dir}/seen/batch={number}")
-        merged = increment(session.read.parquet(versions[-1]), delta) if versions else delta
-        path = f"{state_dir}/metrics/v{number}-{uuid.uuid4().hex[:8]}"
-        merged.write.parquet(path)
-        versions.append(path)
+        path = f"{state_dir}/batches/{number}-{uuid.uuid4().hex[:8]}"
+        new.write.parquet(f"{path}/seen")
+        (increment(session.read.parquet(f"{before[-1]}/metrics"), delta) if before else delta).write.parquet(f"{path}/metrics")
+        session.createDataFrame([(number, path)], "number long, path string").coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/done/{number}")
+    finally:
         batch.unpersist()
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(input_dir)
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
+
+def run(spark: SparkSession, input_dir: str, schema: T.StructType, state_dir: str, files_per_batch: int | None = 1) -> DataFrame:
+    """Roll up the event files under input_dir and return the metrics table.
+
+    Each batch writes a new version of the metrics and the identities that it saw first;
+    the version before is read, so a lost batch leaves the last whole version in place.
+    Without files_per_batch all files that are new make one batch.
+    """
+    stream = spark.readStream.schema(schema)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    sink = stream.parquet(input_dir).writeStream.foreachBatch(lambda batch, number: merge(batch, number, state_dir))
+    query = sink.option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(versions[-1])
+    done = committed(spark, state_dir)
+    if not done:
+        return batch_delta(spark.createDataFrame([], schema), spark.createDataFrame([], SEEN))[0]
+    return spark.read.parquet(f"{done[-1][1]}/metrics")
 
 
 def watermarked_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
