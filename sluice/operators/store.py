@@ -23,6 +23,14 @@ def land(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return joined.withColumn("is_new", (F.col("seq") == F.col("first_seq")) & F.col("known").isNull()).select(*batch.columns, "is_new")
 
 
+def once(rows: DataFrame, key: str, order: list[str], landed: DataFrame | None = None) -> DataFrame:
+    """The first row of each key by order, without the keys of landed; rows with a null key all stay."""
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("v")).select("v.*")
+    if landed is not None:
+        first = first.join(landed.select(key), key, "left_anti")
+    return rows.where(F.col(key).isNull()).unionByName(first)
+
+
 def upsert(target: DataFrame, batch: DataFrame, key: list[str], order: str) -> DataFrame:
     """The last row of each key wins; rows of the batch are later than all of the target."""
     columns = [c for c in target.columns if c not in key]

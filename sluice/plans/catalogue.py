@@ -494,6 +494,13 @@ def _(spark, sf):
     return payloads.drain_events(payloads.parse_bodies(_deliveries(spark, sf, True)), F.lit("https://site.example"))
 
 
+@query("drain_retries", _SQL["drain_mapping_all"])
+def _(spark, sf):
+    """Every delivery is sent twice; its events are mapped once."""
+    d = _deliveries(spark, sf, True)
+    return payloads.drain_events(payloads.parse_once(d.union(d)), F.lit("https://site.example")).drop("event_key")
+
+
 # Sources' state
 
 

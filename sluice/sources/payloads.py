@@ -3,29 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import store
+
 DRAIN = "eventType string, eventName string, eventData string, timestamp long, sessionId string, deviceId string, origin string, path string, referrer string, country string, deviceType string, clientName string, clientVersion string, osName string, route string, schema string"
 USER = "id string, created_at string, confirmed_at string, email_confirmed_at string, provider string, app_metadata struct<provider:string>, raw_app_meta_data struct<provider:string>"
 #: Vendor attributes that go under one key of the properties: property name and event field.
 VENDOR = [("client_name", "clientName"), ("client_version", "clientVersion"), ("os_name", "osName"), ("route", "route")]
 
 
-def parse_bodies(bodies: DataFrame) -> DataFrame:
+def parse_bodies(bodies: DataFrame, *kept: str) -> DataFrame:
     """bodies (delivery_id, body) -> delivery_id, position, event. A JSON array, one object, or one object a line.
 
-    A line that does not parse is an event of nulls; an empty body has none.
+    A line that does not parse is an event of nulls; an empty body has none. Columns in kept are passed on.
     """
     body = F.trim("body")
     as_array = F.from_json(body, f"array<struct<{', '.join(x.strip().replace(' ', ':') for x in DRAIN.split(','))}>>")
     lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != "")
     as_lines = F.transform(lines, lambda x: F.from_json(x, DRAIN))
     events = F.when(body.startswith("["), as_array).otherwise(as_lines)
-    return bodies.select("delivery_id", F.posexplode(events).alias("position", "event"))
+    return bodies.select("delivery_id", *kept, F.posexplode(events).alias("position", "event"))
+
+
+def parse_once(bodies: DataFrame, landed: DataFrame | None = None) -> DataFrame:
+    """parse_bodies with event_key, each key once and none of landed (event_key): a delivery sent again adds nothing.
+
+    external_id is no key: other events of a session may share its millisecond. The key is an event's whole
+    content and its number among equal events of its body, so equal events of one delivery all stay, and
+    a retry may group events anew. A line that does not parse has its body and place for content.
+    """
+    one = bodies.groupBy("body").agg(F.min("delivery_id").alias("delivery_id")).withColumn("body_hash", F.sha2("body", 256))
+    content = F.coalesce(F.nullif(F.to_json("event"), F.lit("{}")), F.concat_ws(":", "body_hash", "position"))
+    events = parse_bodies(one, "body_hash").withColumn("content", F.sha2(content, 256))
+    number = F.row_number().over(W.partitionBy("body_hash", "content").orderBy("position"))
+    keyed = events.withColumn("event_key", F.concat_ws(":", "content", number))
+    return store.once(keyed, "event_key", ["delivery_id", "body_hash", "position"], landed).select("delivery_id", "position", "event", "event_key")
 
 
 def drain_events(parsed: DataFrame, source_url: Column) -> DataFrame:
-    """Events of the log from parsed deliveries."""
+    """Events of the log from parsed deliveries; an event_key is passed on."""
     from ..functions.web import resolve_url
 
     e = F.col("event")
@@ -38,6 +56,7 @@ def drain_events(parsed: DataFrame, source_url: Column) -> DataFrame:
         resolve_url(e["path"], e["origin"], source_url).alias("url"), agent.alias("user_agent"), properties(e).alias("properties"),
         F.date_format(F.timestamp_millis(e["timestamp"]), "yyyy-MM-dd'T'HH:mm:ss").alias("occurred_at"),
         F.concat_ws(":", or_else("eventType", "event"), F.coalesce(e["timestamp"].cast("string"), F.lit("0")), or_else("deviceId", "unknown"), or_else("sessionId", "unknown")).alias("external_id"),
+        *[c for c in parsed.columns if c == "event_key"],
     )
 
 

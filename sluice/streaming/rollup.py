@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.rollup import ROLLUP, counters, hashed
-from ..operators.store import increment
+from ..operators.store import increment, once
 
 
 def batch_delta(events: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,36 +46,42 @@ def committed(spark: SparkSession, state_dir: str) -> list[tuple[int, str]]:
     return sorted((r["number"], r["path"]) for r in rows)
 
 
-def merge(batch: DataFrame, number: int, state_dir: str) -> None:
-    """Add a batch to the state, unless it is in it."""
+def merge(batch: DataFrame, number: int, state_dir: str, key: str | None = None) -> None:
+    """Add a batch to the state, unless it is in it; of equal keys, the first event of all batches counts."""
     session = batch.sparkSession
     done = committed(session, state_dir)
     if number in dict(done):
         return
     before = [path for n, path in done if n < number]
+    if key:
+        landed = session.read.schema(f"{key} string").parquet(*[f"{p}/keys" for p in before]) if before else None
+        batch = once(batch, key, ["event_id"], landed)
     batch = batch.persist()
     try:
         seen = session.read.schema(SEEN).parquet(*[f"{p}/seen" for p in before]) if before else session.createDataFrame([], SEEN)
         delta, new = batch_delta(batch, seen)
         path = f"{state_dir}/batches/{number}-{uuid.uuid4().hex[:8]}"
         new.write.parquet(f"{path}/seen")
+        if key:
+            batch.where(F.col(key).isNotNull()).select(F.col(key).cast("string")).write.parquet(f"{path}/keys")
         (increment(session.read.parquet(f"{before[-1]}/metrics"), delta) if before else delta).write.parquet(f"{path}/metrics")
         session.createDataFrame([(number, path)], "number long, path string").coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/done/{number}")
     finally:
         batch.unpersist()
 
 
-def run(spark: SparkSession, input_dir: str, schema: T.StructType, state_dir: str, files_per_batch: int | None = 1) -> DataFrame:
+def run(spark: SparkSession, input_dir: str, schema: T.StructType, state_dir: str, files_per_batch: int | None = 1, key: str | None = None) -> DataFrame:
     """Roll up the event files under input_dir and return the metrics table.
 
     Each batch writes a new version of the metrics and the identities that it saw first;
     the version before is read, so a lost batch leaves the last whole version in place.
-    Without files_per_batch all files that are new make one batch.
+    Without files_per_batch all files that are new make one batch. With a key, a column of the
+    events, an event that is sent again adds nothing; a state folder keeps to one key.
     """
     stream = spark.readStream.schema(schema)
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
-    sink = stream.parquet(input_dir).writeStream.foreachBatch(lambda batch, number: merge(batch, number, state_dir))
+    sink = stream.parquet(input_dir).writeStream.foreachBatch(lambda batch, number: merge(batch, number, state_dir, key))
     query = sink.option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     done = committed(spark, state_dir)
