@@ -53,22 +53,28 @@ PLAIN = re.compile(r"[\"'(«¿¡]?\w+(?:['’-]\w+)*[.,;:!?)»\"']{0,2}")
 SHAPES = (re.compile(r"[^\W\d_]*[a-zà-öø-ÿ][^\W\d_]*"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1{2,}"))
 
 
-def shape_of(word: str) -> str:
-    """A word with runs of letters as a or A, of digits as 0, and long runs of a sign as three."""
-    word = SHAPES[0].sub("a", word[:64])
-    word = SHAPES[2].sub("0", re.sub(r"[A-ZÀ-ÖØ-Þ]+", "A", word))
-    return SHAPES[3].sub(r"\1\1\1", word)[:12]
+def shapes_of(word: str) -> list[str]:
+    """A word with runs of letters as a or A, of digits as 0, and long runs of a sign as three; a long word is many, which cover it."""
+    out = []
+    for k in range(0, len(word), 64):
+        shape = SHAPES[0].sub("a", word[k : k + 64])
+        shape = SHAPES[2].sub("0", re.sub(r"[A-ZÀ-ÖØ-Þ]+", "A", shape))
+        shape = SHAPES[3].sub(r"\1\1\1", shape)
+        out += [shape[i : i + 12] for i in range(0, len(shape), 12)]
+    return out
 
 
 class Shapes(dict):
-    """What is kept of a word: its shape's hash, and whether it is plain, all capitals, a separator, an end of sentence."""
+    """What is kept of a word: its shapes' hashes, and whether it is plain, all capitals, a separator, an end of sentence."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], int]:
         if len(self) >= 400_000:
             self.clear()
         text = word.decode("utf-8", "replace")
         flags = (PLAIN.fullmatch(text) is not None) | (text.isupper() and len(text) > 1) << 1 | any(c in "|»·" for c in text) << 2 | (text[-1] in ".!?…") << 3 | text[0].isupper() << 4
-        value = self[word] = (zlib.crc32(shape_of(text).encode()), flags)
+        value = (tuple(zlib.crc32(x.encode()) for x in shapes_of(text)), flags)
+        if len(word) <= 1000:
+            self[word] = value
         return value
 
 
@@ -85,7 +91,8 @@ class Signals:
         if not n:
             return {"plain": 0.0, "capital": 0.0, "separator": 0.0, "adjacent": 0.0, "window": 0.0, "dup_lines": 0.0, "sentence": 0.0}, np.empty(0, np.int64)
         known = list(map(self.shapes.__getitem__, tokens))
-        shapes, flags = (np.array(x, np.int64) for x in zip(*known, strict=True))
+        shapes = np.array([x for each, _ in known for x in each], np.int64)
+        flags = np.array([x for _, x in known], np.int64)
         hashes = self.words.of(tokens)
         windows = window_hashes(hashes, (0, 1, 2, 3, 4))
         ends = sum(1 for x in lines if self.shapes[x.split()[-1]][1] & 8 and self.shapes[x.split()[0]][1] & 17 == 17)

@@ -114,3 +114,12 @@ def test_classifier_on_odd_documents(spark, tmp_path):
     assert qc.op7_quality_classifier(spark, write(spark, tmp_path / "e", [])).count() == 0
     staged = qc.stage(spark, spark.createDataFrame(rows, DOCS), "")
     assert staged.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_features_cover_the_whole_of_a_long_word():
+    base = "".join(chr(0x4E00 + k) for k in range(200))
+    assert "".join(qc.shapes_of(base)) == base and qc.shapes_of("Word9-word") == ["a0-a"]
+    signals = qc.Signals()
+    at = lambda text: set(signals.features(*signals.shares(text.encode()))[0].tolist())
+    assert at(base) != at(base[:150] + base[:50]) and len(at(base)) > 30
+    assert len(at("Q+/" * 50_000)) > 7
