@@ -46,7 +46,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved.saved_at = path
+    return saved
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete tables that `save` wrote, once what was made of them is saved itself."""
+    for df in saved:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -92,16 +101,24 @@ def window_hashes(hashes: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of `column`, so that work arrays stay small."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        each = max(1, int(batch.num_rows * limit / max(limit, batch.column(column).nbytes)))
+        each = max(1, int(batch.num_rows * limit / max(limit, batch.columns[column].nbytes if isinstance(column, int) else batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, each):
             yield batch.slice(at, each)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores before it as it takes to clash with no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def counted_at_most(df: DataFrame, bound: int) -> bool:
     """Whether df has at most `bound` rows, without reading more than it must."""
     return df.limit(bound + 1).count() <= bound

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import discard, save
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(edges)
     while before[0]:
-        edges = save(_star(_star(edges, True), False), "edges")
+        last, edges = edges, save(_star(_star(edges, True), False), "edges")
+        discard(last)
         if (now := mark(edges)) == before:
             break
         before = now

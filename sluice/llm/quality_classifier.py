@@ -6,18 +6,20 @@
    labeller votes what on good and on bad documents (two-coin model with Dirichlet
    priors that say which side a labeller is meant for, so that classes can't swap).
 3. The posterior of its pattern is a document's soft label. A bounded sample
-   (`sample_rows`, by a hash of doc_id, half of each side) trains a logistic scorer on
-   hashed features: word shapes, pairs of shapes and binned shares. All other steps
-   cover all documents.
+   (`sample_rows` rows at most, by a hash of doc_id and text, half of each side) trains a
+   logistic scorer on hashed features: word shapes, pairs of shapes and binned shares. All
+   other steps cover all documents.
 4. Every document is scored on its whole text; below `threshold` it is rejected.
 
-Nothing is shuffled but pattern counts, so no key can be hot. The driver sees pattern counts
-and the features of the sample.
+Texts are read once: the first pass writes each document's votes and features (counts of
+hashed shapes), and the scorer reads those. Nothing is shuffled but pattern counts and the
+sample, so no key can be hot. The driver sees pattern counts and the sample's features.
 
 Defined results: a null, empty or blank text has no words, votes bad and is scored on
-that. Repeated rows are scored alike; a null doc_id is scored but never sampled. On an
-empty table, or where the sample has one side only, the model is the labellers' prior:
-the scorer then is a constant and nothing is rejected. Extra columns are kept by `stage`.
+that. Repeated rows are scored alike and sampled once; a null doc_id is a value like others.
+On an empty table, or where the sample has one side only, the model is the labellers' prior:
+the scorer then is a constant and nothing is rejected. Extra columns are kept by `stage`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, save, slices, table, window_hashes
+from .common import save, slices, table, unused, window_hashes
 
 DIM = 1 << 16
 SAMPLE_ROWS = 20_000
@@ -64,58 +67,176 @@ def shapes_of(word: str) -> list[str]:
     return out
 
 
+SMALL = re.compile("[a-zà-öø-ÿ]")
+#: Words of letters, a small Latin one among them, and at most one sign after them: their only shape.
+USUAL = {tail: zlib.crc32(f"a{tail}".encode()) for tail in ("", *".,;:!?")}
+
+
 class Shapes(dict):
-    """What is kept of a word: its shapes' hashes, and whether it is plain, all capitals, a separator, an end of sentence."""
+    """Ids of words, and tables by id: hash, flags, and where a word's shapes stand in `shape`.
 
-    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], int]:
-        if len(self) >= 400_000:
-            self.clear()
+    Flags: plain 1, all capitals 2, a separator 4, an end of a sentence 8, a capital first 16.
+    """
+
+    def __init__(self, limit: int = 400_000):
+        super().__init__()
+        self.limit = limit
+        self.make_room()
+
+    def __missing__(self, word: bytes) -> int:
+        hashes, flags, starts, counts, shape = self.new
         text = word.decode("utf-8", "replace")
-        flags = (PLAIN.fullmatch(text) is not None) | (text.isupper() and len(text) > 1) << 1 | any(c in "|»·" for c in text) << 2 | (text[-1] in ".!?…") << 3 | text[0].isupper() << 4
-        value = (tuple(zlib.crc32(x.encode()) for x in shapes_of(text)), flags)
-        if len(word) <= 1000:
-            self[word] = value
+        tail = text[-1] if text[-1] in ".,;:!?" else ""
+        core = text[:-1] if tail else text
+        if core.isalpha() and len(core) < 64 and (not core.isupper() if core.isascii() else SMALL.search(core)):
+            flags.append(1 | (tail in (".", "!", "?")) << 3 | core[0].isupper() << 4)
+            found = [USUAL[tail]]
+        else:
+            flags.append((PLAIN.fullmatch(text) is not None) | (text.isupper() and len(text) > 1) << 1 | any(c in "|»·" for c in text) << 2 | (text[-1] in ".!?…") << 3 | text[0].isupper() << 4)
+            found = [zlib.crc32(x.encode()) for x in shapes_of(text)]
+        hashes.append(xxhash.xxh64_intdigest(word))
+        starts.append(len(self.held[4]) + len(shape))
+        counts.append(len(found))
+        shape.extend(found)
+        value = self[word] = len(self)
         return value
 
+    def make_room(self) -> None:
+        """Between batches: start anew when the words' shapes are too many."""
+        if not self or len(self.held[4]) > self.limit:
+            self.clear()
+            self.held = [np.empty(0, k) for k in (np.uint64, np.uint8, np.int64, np.int64, np.int64)]
+            self.new: tuple[list, ...] = ([], [], [], [], [])
 
-class Signals:
-    """Shares, votes and hashed features of texts."""
-
-    def __init__(self):
-        self.shapes, self.words = Shapes(), WordHashes()
-
-    def shares(self, text: bytes | None) -> tuple[dict[str, float], np.ndarray]:
-        lines = [x for x in ((text or b"").split(b"\n")) if x.strip()]
-        tokens = (text or b"").split()
-        n = len(tokens)
-        if not n:
-            return {"plain": 0.0, "capital": 0.0, "separator": 0.0, "adjacent": 0.0, "window": 0.0, "dup_lines": 0.0, "sentence": 0.0}, np.empty(0, np.int64)
-        known = list(map(self.shapes.__getitem__, tokens))
-        shapes = np.array([x for each, _ in known for x in each], np.int64)
-        flags = np.array([x for _, x in known], np.int64)
-        hashes = self.words.of(tokens)
-        windows = window_hashes(hashes, (0, 1, 2, 3, 4))
-        ends = sum(1 for x in lines if self.shapes[x.split()[-1]][1] & 8 and self.shapes[x.split()[0]][1] & 17 == 17)
-        return {
-            "plain": float((flags & 1).mean()), "capital": float((flags >> 1 & 1).mean()), "separator": float((flags >> 2 & 1).mean()),
-            "adjacent": float((hashes[1:] == hashes[:-1]).sum() / n), "window": 1 - len(np.unique(windows)) / len(windows) if len(windows) else 0.0,
-            "dup_lines": 1 - len(set(lines)) / len(lines), "sentence": ends / len(lines),
-        }, shapes
-
-    def votes(self, shares: dict[str, float], n: int) -> str:
+    def tables(self) -> list[np.ndarray]:
+        if self.new[0]:
+            self.held = [np.concatenate((old, np.array(x, old.dtype))) for old, x in zip(self.held, self.new, strict=True)]
+            self.new = ([], [], [], [], [])
+        return self.held
+
+
+@dataclass
+class Batch:
+    """What is read off a batch of texts: columns by text, and features as lists (at: offsets)."""
+
+    shares: dict[str, np.ndarray]
+    n_words: np.ndarray
+    n_shapes: np.ndarray
+    at: np.ndarray
+    index: np.ndarray
+    count: np.ndarray
+
+    def patterns(self) -> list[str]:
         """A letter for each labeller: g, b or - for none."""
-        if not n:
-            return "b" * len(LABELLERS)
-        holds = lambda rule, x: rule is not None and (x < rule[1] if rule[0] == "<" else x > rule[1])
-        return "".join("b" if holds(bad, shares[s]) else "g" if holds(good, shares[s]) else "-" for _, s, bad, good in LABELLERS)
+        out = np.full((len(self.n_words), len(LABELLERS)), ord("-"), np.uint8)
+        holds = lambda rule, x: x < rule[1] if rule[0] == "<" else x > rule[1]
+        for j, (_, share, bad, good) in enumerate(LABELLERS):
+            for rule, letter in ((good, "g"), (bad, "b")):
+                if rule:
+                    out[holds(rule, self.shares[share]), j] = ord(letter)
+        out[self.n_words == 0] = ord("b")
+        return out.view(f"S{len(LABELLERS)}").ravel().astype(str).tolist()
+
+    def bins(self) -> np.ndarray:
+        """The tenth that each share is in, a row of len(SHARES) bytes for each text."""
+        return np.stack([np.minimum(9, (self.shares[k] * 10).astype(np.int64)).astype(np.uint8) for k in SHARES], axis=1)
+
+
+def bin_features() -> np.ndarray:
+    """The feature of each share and tenth."""
+    return np.array([[zlib.crc32(f"{k}={b}".encode()) % DIM for b in range(10)] for k in SHARES], np.int64)
+
+
+def _by_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    return total[at[1:]] - total[at[:-1]]
+
+
+def _offsets(counts) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(counts, dtype=np.int64))).astype(np.int64)
+
+
+def read_batch(texts: list[bytes | None], known: Shapes) -> Batch:
+    """Shares and hashed features of whole texts, all texts of a batch at once."""
+    known.make_room()
+    tokens: list[bytes] = []
+    sizes, widths, n_lines, distinct = [], [], [], []
+    for text in texts:
+        lines, before = [], len(tokens)
+        for line in (text or b"").split(b"\n"):
+            if ws := line.split():
+                lines.append(line)
+                tokens += ws
+                widths.append(len(ws))
+        sizes.append(len(tokens) - before)
+        n_lines.append(len(lines))
+        distinct.append(len(set(lines)))
+    n, docs = np.array(sizes, np.int64), len(texts)
+    at, total = _offsets(sizes), len(tokens)
+    ids = np.fromiter(map(known.__getitem__, tokens), np.int64, total)
+    del tokens
+    hashes, flags, starts, counts, shape = known.tables()
+    doc = np.repeat(np.arange(docs), n)
+    flag = flags[ids] if total else np.empty(0, np.uint8)
+    per_word = np.maximum(n, 1)
+
+    inside = doc[1:] == doc[:-1]
+    again = np.concatenate(((ids[1:] == ids[:-1]) & inside, [False]))[:total]
+    windows = window_hashes(hashes[ids] if total else np.empty(0, np.uint64), (0, 1, 2, 3, 4))
+    own = doc[: len(windows)] == doc[4 : 4 + len(windows)]
+    low = np.uint64(max(1, docs - 1).bit_length())
+    keys = np.sort((doc[: len(windows)][own].astype(np.uint64) << (np.uint64(64) - low)) | (windows[own] >> low))
+    first = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+    n_windows = np.maximum(n - 4, 0)
+    loops = 1 - np.bincount((first >> (np.uint64(64) - low)).astype(np.int64), minlength=docs) / np.maximum(n_windows, 1)
+    line_at = _offsets(widths)
+    good_line = (flag[line_at[:-1]] & 17 == 17) & (flag[line_at[1:] - 1] & 8 > 0) if total else np.empty(0, bool)
+    lines_at, per_line = _offsets(n_lines), np.maximum(n_lines, 1)
+    shares = {
+        "plain": _by_text(flag & 1, at) / per_word, "capital": _by_text(flag >> 1 & 1, at) / per_word, "separator": _by_text(flag >> 2 & 1, at) / per_word,
+        "adjacent": _by_text(again, at) / per_word, "window": np.where(n_windows > 0, loops, 0.0),
+        "dup_lines": np.where(n > 0, 1 - np.array(distinct) / per_line, 0.0), "sentence": _by_text(good_line, lines_at) / per_line,
+    }
+
+    each = counts[ids] if total else np.empty(0, np.int64)
+    shape_at = _offsets(each)
+    places = np.repeat(starts[ids] - shape_at[:-1], each) + np.arange(shape_at[-1]) if total else np.empty(0, np.int64)
+    of, shape = np.repeat(doc, each), shape[places]
+    pair = of[1:] == of[:-1]
+    features = np.concatenate((of * DIM + shape % DIM, of[1:][pair] * DIM + (shape[:-1][pair] * 31 + shape[1:][pair] * 17 + 7) % DIM))
+    features = np.sort(features.astype(np.int32) if docs * DIM < 1 << 31 else features)
+    new = np.flatnonzero(np.concatenate(([True], features[1:] != features[:-1]))) if len(features) else np.empty(0, np.int64)
+    found = features[new].astype(np.int64)
+    return Batch(shares, n, np.bincount(of, minlength=docs), _offsets(np.bincount(found // DIM, minlength=docs)), found % DIM, np.diff(np.append(new, len(features))))
+
+
+FEATURES = "pattern string, pick long, n_shapes long, bins binary, index array<int>, count array<int>"
+
+
+def _columns(texts: list[bytes | None], ids: list[int | None], known: Shapes) -> pa.StructArray:
+    """FEATURES of a batch."""
+    b = read_batch(texts, known)
+    at = pa.array(b.at.astype(np.int32))
+    picks = [xxhash.xxh64_intdigest(t or b"", 0 if d is None else d % (1 << 64)) >> 1 for t, d in zip(texts, ids, strict=True)]
+    lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (b.index, b.count)]
+    bins = b.bins()
+    columns = [pa.array(b.patterns(), pa.string()), pa.array(picks, pa.int64()), pa.array(b.n_shapes.astype(np.int64)), pa.array([r.tobytes() for r in bins], pa.binary()), *lists]
+    return pa.StructArray.from_arrays(columns, names=["pattern", "pick", "n_shapes", "bins", "index", "count"])
+
+
+def with_features(docs: DataFrame, name: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs, and FEATURES in a column `name`."""
+    passed = docs.select(*keep)
+    source = docs.select(*keep, F.struct(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).alias(unused(keep, "_source")))
+    schema = T.StructType([*passed.schema.fields, T.StructField(name, T.StructType.fromDDL(FEATURES))])
 
-    def features(self, shares: dict[str, float], shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(indices, values): shares of shapes and shape pairs, and one bin of each share."""
-        bins = [zlib.crc32(f"{k}={min(9, int(shares[k] * 10))}".encode()) % DIM for k in SHARES]
-        parts = [shapes % DIM, (shapes[:-1] * 31 + shapes[1:] * 17 + 7) % DIM]
-        at, counts = np.unique(np.concatenate(parts), return_counts=True)
-        index = np.concatenate((at, np.array(bins, np.int64)))
-        return index, np.concatenate((counts / max(1, len(shapes)), np.full(len(bins), 0.3))).astype(np.float32)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Shapes()
+        for batch in slices(batches, -1):
+            ids, texts = batch.columns[-1].flatten()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _columns(texts.cast(pa.binary()).to_pylist(), ids.to_pylist(), known)], names=[*batch.schema.names[:-1], name])
+
+    return source.mapInArrow(scan, schema)
 
 
 @dataclass
@@ -183,70 +304,66 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, l
     return w
 
 
-def vote_patterns(docs: DataFrame) -> DataFrame:
-    """(doc_id, pattern) of each document."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signals = Signals()
-        for batch in slices(batches, "text"):
-            found = [signals.shares(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([signals.votes(s, len(x)) for s, x in found], pa.string())], names=["doc_id", "pattern"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, pattern string")
-
-
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Votes, np.ndarray]:
-    """(label model, scorer's weights) for docs (doc_id, text)."""
-    spark = docs.sparkSession
-    votes = save(vote_patterns(docs), "votes")
-    counts = {r["pattern"]: r["count"] for r in votes.groupBy("pattern").count().collect()}  # at most 3 ** labellers rows
+def fit(features: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Votes, np.ndarray]:
+    """(label model, scorer's weights) for features, a saved table with the fields of FEATURES as columns."""
+    spark = features.sparkSession
+    counts = {r["pattern"]: r["count"] for r in features.groupBy("pattern").count().collect()}  # at most 3 ** labellers rows
     model = expectation_maximisation(counts)
     label = {p: model.posterior(p) for p in counts}
-    sides = [sum(c for p, c in counts.items() if (label[p] >= 0.5) == good) for good in (False, True)]
-    chance = [min(1.0, sample_rows / 2 / max(1, n)) for n in sides]
-    plan = spark.createDataFrame([(p, float(y), int(chance[y >= 0.5] * 1_000_000)) for p, y in label.items()], "pattern string, label double, chance long")
-    sample = votes.join(F.broadcast(plan), "pattern").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.col("chance"))
-    sample = sample.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("s_doc")).agg(F.min("label").alias("label"))
+    plan, each = [], sample_rows // 2
+    for good in (False, True):
+        n = sum(c for p, c in counts.items() if (label[p] >= 0.5) == good)
+        # Twice the wanted share is drawn by a hash, and the least hashes of these are taken.
+        plan += [(p, float(y), good, int(min(1.0, 2 * each / max(1, n)) * 1_000_000)) for p, y in label.items() if (y >= 0.5) == good]
+    plan = spark.createDataFrame(plan, "pattern string, label double, good boolean, chance long")
+    drawn = features.join(F.broadcast(plan), "pattern").where(F.pmod("pick", F.lit(1_000_000)) < F.col("chance"))
+    drawn = drawn.select("good", "label", "pick", "n_shapes", "bins", "index", "count").dropDuplicates(["pick"])
+    rows = []
+    for good in (False, True):
+        rows += drawn.where(F.col("good") == good).orderBy(F.xxhash64("pick"), "pick").limit(each).collect()
+    bins, found = bin_features(), []
+    for r in rows:
+        index = np.concatenate((np.array(r["index"], np.int64), bins[np.arange(len(SHARES)), np.frombuffer(r["bins"], np.uint8)]))
+        found.append((index, np.concatenate((np.array(r["count"]) / max(1, r["n_shapes"]), np.full(len(SHARES), 0.3))).astype(np.float32), r["label"]))
+    return model, train(found)
+
+
+def with_scores(rows: DataFrame, features: str, weights: np.ndarray, name: str) -> DataFrame:
+    """rows with the scorer's P(good) in a column `name` instead of their column `features`."""
+    held = rows.sparkSession.sparkContext.broadcast(weights)
+    schema = T.StructType([*rows.drop(features).schema.fields, T.StructField(name, T.DoubleType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signals = Signals()
-        for batch in slices(batches, "text"):
-            found = [signals.features(*signals.shares(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["label", "at", "x"])
-
-    # sample_rows ids at most, in expectation: small enough to send to all tasks.
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("s_doc")).select("text", "label")
-    rows = some.mapInArrow(scan, "label double, at binary, x binary").collect()
-    rows = sorted((bytes(r["at"]), bytes(r["x"]), r["label"]) for r in rows)
-    return model, train([(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(x, np.float32), y) for a, x, y in rows])
-
-
-def scored(docs: DataFrame, weights: np.ndarray, name: str = "p_good") -> DataFrame:
-    """docs with the scorer's P(good) of the whole text, in a column `name`."""
-    held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    docs = docs.drop(name)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signals, w = Signals(), held.value
-        for batch in slices(batches, "text"):
-            p = []
-            for t in batch.column("text").cast(pa.binary()).to_pylist():
-                at, x = signals.features(*signals.shares(t))
-                p.append(1 / (1 + np.exp(-np.clip(float(w[at] @ x) + float(w[-1]), -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
-
-    return docs.mapInArrow(scan, schema)
+        w, bins = held.value, bin_features()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = dict(zip(("pattern", "pick", "n_shapes", "bins", "index", "count"), batch.column(features).flatten(), strict=True))
+            index, count = (found[k].flatten().to_numpy(zero_copy_only=False) for k in ("index", "count"))
+            at = _offsets(np.diff(found["index"].offsets.to_numpy()))
+            sums = np.concatenate(([0.0], np.cumsum(w[index] * count)))
+            tenths = np.frombuffer(b"".join(found["bins"].to_pylist()), np.uint8).reshape(-1, len(SHARES))
+            total = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(1, found["n_shapes"].to_numpy()) + 0.3 * w[bins[np.arange(len(SHARES)), tenths]].sum(axis=1) + w[-1]
+            rest = batch.drop_columns([features])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=[*rest.schema.names, name])
+
+    return rows.mapInArrow(scan, schema)
+
+
+def fitted_scores(docs: DataFrame, name: str, keep: list[str], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The columns `keep` of docs (doc_id, text, ...) and P(good), by a scorer fitted on these documents, in a column `name`."""
+    features = unused([*keep, name], "_features")
+    rows = save(with_features(docs, features, keep), "features")
+    _, weights = fit(rows.select(f"{features}.*"), sample_rows)
+    return with_scores(rows, features, weights, name)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    _, weights = fit(docs)
-    rows = scored(docs, weights)
+    rows = fitted_scores(table(spark, sf_dir, "documents"), "p_good", ["doc_id"])
     return rows.select("doc_id", F.round("p_good", 4).alias("p_good"), (F.col("p_good") >= threshold).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
     """The documents that the scorer, fitted on these documents, takes for good."""
-    _, weights = fit(docs.select("doc_id", "text"))
-    return scored(docs, weights, "_p_good").where(F.col("_p_good") >= threshold).select(*docs.columns)
+    name = unused(docs.columns, "_p_good")
+    return fitted_scores(docs, name, docs.columns).where(F.col(name) >= threshold).drop(name)
