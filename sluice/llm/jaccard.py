@@ -11,9 +11,12 @@
    parity maps (the maps of two sets differ in at most as many bits as the sets
    in shingles, so no link is lost), are expanded to members and verified on whole sets.
 4. Round 2 is what makes it exact: buckets that round 1 left in more than one component
-   are compared pair by pair, in blocks of bounded size spread over tasks, leaving out
-   pairs that are connected already, and pairs whose prefixes share too few shingles. So large groups of near copies, which
-   round 1 connects, never cost their square, and nothing is capped or dropped.
+   are compared group by group, in blocks of bounded size spread over tasks. A pair of
+   groups leaves its task only if it is not connected already and passes the size and map
+   filters; then its prefixes must share enough shingles. Groups of several members are
+   expanded in the same way: only members of different components meet, in blocks. So large
+   groups of near copies, which round 1 connects, never cost their square in rows, and
+   nothing is capped or dropped.
 
 Only pairs that pass the filters leave a task. The driver sees counts and at most
 HOT_SHINGLES frequent shingles; the order may be any, so that bound cuts no result.
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, save, slices, table, window_hashes
+from .common import WordHashes, discard, save, slices, table, window_hashes
 from .components import components
 
 #: Shingles in more prefixes than this are put last; at most so many are.
@@ -46,8 +49,12 @@ BROADCAST_IDS = 400_000
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The least size of a parity map.
 MAP_BITS = 512
-#: The size to which round 2 folds them for its buckets.
-FOLD_BYTES = 16
+#: The sizes to which round 2 folds larger ones: in buckets of FEW groups at most, where a row has few pairs, and in others.
+FEW, FOLD_BYTES, MAP_BYTES = 16, 16, 256
+#: So many shingles of large buckets go with a row, so that a pair leaves one of its buckets only.
+HEADS = 16
+#: As `shared`: a pair seen in a large bucket, where it is not counted.
+UNCOUNTED = 1 << 40
 
 
 def shingle_set(text: bytes | None, words: WordHashes, k: int) -> np.ndarray:
@@ -148,7 +155,7 @@ def filter_by_maps(pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """pairs (a, b) of doc_ids -> the links among them, by whole sets."""
+    """pairs (a, b) of doc_ids, each once -> the links among them, by whole sets."""
     pairs = save(pairs, "candidates")
     ids = save(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "ids")
     few = ids.count() <= BROADCAST_IDS
@@ -161,7 +168,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Dat
     sets = save(some.mapInArrow(scan, "id long, s array<long>"), "sets")
     joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return joined.where(both * (den + num) >= (F.size("sa") + F.size("sb")) * num).select("a", "b").distinct()
+    return joined.where(both * (den + num) >= (F.size("sa") + F.size("sb")) * num).select("a", "b")
 
 
 def _pairs_of_runs(at: np.ndarray, stop: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -189,68 +196,161 @@ def _pairs_of_runs(at: np.ndarray, stop: np.ndarray, block: np.ndarray) -> Itera
             yield (i, j) if across else (i[i < j], j[i < j])
 
 
-def exact_round(rows: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """rows (token, rep, n, component, fold) -> candidate pairs (a, b, na, nb) of different components.
+class Maps:
+    """Parity maps of many rows (null: none), folded to MAP_BYTES at most, for vectorised comparison."""
+
+    def __init__(self, maps: list[bytes | None]):
+        held = [m if m is None or len(m) <= MAP_BYTES else folded(m, MAP_BYTES) for m in maps]
+        self.size = np.array([0 if m is None else len(m) for m in held], np.int64)
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in sorted(set(self.size.tolist()) - {0}):
+            rows = np.flatnonzero(self.size >= size)
+            place = np.full(len(held), -1, np.int64)
+            place[rows] = np.arange(len(rows))
+            bits = np.frombuffer(b"".join(folded(held[r], size) for r in rows.tolist()), np.uint64).reshape(-1, size // 8)
+            self.levels[size] = place, bits
+
+    def close(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether rows i and j differ in at most `most` bits, in the size of the smaller map; true where one has none."""
+        least, ok = np.minimum(self.size[i], self.size[j]), np.ones(len(i), bool)
+        for size, (place, bits) in self.levels.items():
+            at = np.flatnonzero(least == size)
+            if len(at):
+                ok[at] = np.bitwise_count(bits[place[i[at]]] ^ bits[place[j[at]]]).sum(axis=1, dtype=np.int64) <= most[at]
+        return ok
+
+
+def in_blocks(rows: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
+    """rows (key, id, m, ...) with columns i, j, block: buckets (key) of m rows, over `block`, are cut into blocks, and each pair of blocks is a key of its own."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
 
-    A bucket over `block` rows is cut into blocks, and each pair of blocks is a key of its
-    own. Pairs are counted over all shingles that their prefixes share. What two sets share
-    beyond the prefix that ends first is at most the rest of that set, so a pair whose
-    count is too small for that is out.
+def unconnected_pairs(rows: DataFrame, key: list[str], num: int, den: int) -> DataFrame:
+    """rows (key, i, j, block, id, n, low, high, map, heads) -> (a, b, na, nb, shared): pairs of ids that may link two components.
+
+    low, high: the least and greatest component of what an id stands for. map: null if it
+    stands for several sets. heads: null in buckets that give all their pairs, else the
+    first large buckets that the id is in; a pair that meets in an earlier one of these is
+    left to that. shared: in how many buckets with null heads the pair was seen, or UNCOUNTED
+    and more.
     """
-    counts = rows.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = rows.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "n", "component", "fold", "block")
-    rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "block")
+    rows = rows.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j", "block").select(*key, "i", "j", "block", "id", "n", "low", "high", "map", "heads")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_runs(batches):
-            col = {c: part.column(c).to_numpy() for c in ("token", "i", "j", "rep", "n", "component", "block")}
-            fold = np.frombuffer(b"".join(part.column("fold").to_pylist()), np.uint64).reshape(-1, FOLD_BYTES // 8)
-            new = np.flatnonzero(np.concatenate(([True], (np.diff(col["token"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0))))
+        for part in _whole_runs(batches, [*key, "i", "j"]):
+            col = {c: part.column(c).to_numpy() for c in (*key, "i", "j", "block", "id", "n", "low", "high")}
+            maps, heads = Maps(part.column("map").to_pylist()), _padded(part.column("heads").to_pylist())
+            counts = np.where(part.column("heads").is_null().to_numpy(), 1, UNCOUNTED)
+            new = np.flatnonzero(np.concatenate(([True], np.any([np.diff(col[c]) != 0 for c in (*key, "i", "j")], axis=0))))
             found, held = [], 0
-            for i, j in _pairs_of_runs(new, np.append(new[1:], len(col["token"])), col["block"]):
+            for i, j in _pairs_of_runs(new, np.append(new[1:], len(col["i"])), col["block"]):
                 # A pair of unlike blocks takes pairs across them only.
-                ok = (col["component"][i] != col["component"][j]) & ((col["i"][i] == col["j"][i]) | (col["block"][i] != col["block"][j]))
+                ok = (col["i"][i] == col["j"][i]) | (col["block"][i] != col["block"][j])
+                ok &= (np.minimum(col["low"][i], col["low"][j]) != np.maximum(col["high"][i], col["high"][j])) & (col["id"][i] != col["id"][j])
                 i, j = i[ok], j[ok]
                 m, n = col["n"][i], col["n"][j]
                 ok = np.minimum(m, n) * den >= np.maximum(m, n) * num
                 i, j, n = i[ok], j[ok], (m + n)[ok]
-                ok = np.bitwise_count(fold[i] ^ fold[j]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * n
+                ok = maps.close(i, j, (den - num) * n // (den + num))
                 i, j = i[ok], j[ok]
-                swap = col["rep"][i] > col["rep"][j]
+                ok = ~_met_before(heads, i, j, col[key[0]])
+                i, j = i[ok], j[ok]
+                swap = col["id"][i] > col["id"][j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
-                found.append(np.stack([col["rep"][i], col["rep"][j], col["n"][i], col["n"][j]], axis=1))
+                found.append(np.stack([col["id"][i], col["id"][j], col["n"][i], col["n"][j], counts[i]], axis=1))
                 held += len(i)
-                if held > 400_000:
+                if held > 200_000:
                     yield _counted(found)
                     found, held = [], 0
             if held:
                 yield _counted(found)
 
-    pairs = rows.mapInArrow(pair, "a long, b long, na long, nb long, shared long").where(F.col("a") != F.col("b"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    pairs = rows.mapInArrow(pair, "a long, b long, na long, nb long, shared long")
+    return pairs.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+
+
+def _padded(heads: list[list[int] | None]) -> np.ndarray:
+    """A row of HEADS shingles for each list, sorted, filled up with the largest number."""
+    out = np.full((len(heads), HEADS), np.iinfo(np.int64).max)
+    for k, found in enumerate(heads):
+        if found:
+            out[k, : len(found)] = found
+    return out
+
+
+def _met_before(heads: np.ndarray, i: np.ndarray, j: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Whether the heads of i and j share a shingle before their bucket's own."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 20_000):
+        one = slice(at, at + 20_000)
+        a = heads[i[one]]
+        a = np.where(a < bucket[i[one], None], a, -1)[:, :, None]
+        out[one] = ((a == heads[j[one]][:, None, :]) & (a != -1)).any(axis=(1, 2))
+    return out
+
+
+def exact_round(index: DataFrame, members: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """index (token, gid), members (gid, rep, n, component, map, fold) -> candidate pairs (a, b, na, nb) of members in different components.
+
+    Groups are paired first, over all shingles that their prefixes share. What two sets
+    share beyond the prefix that ends first is at most the rest of that set, so a pair
+    whose count is too small for that is out. Then pairs with a group of several members,
+    and such groups on their own, are expanded.
+    """
+    alone = lambda c: F.when(F.count("*") == 1, F.first(c)).alias(c)
+    groups = members.groupBy("gid").agg(F.first("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), alone("map"), alone("fold"), F.count("*").alias("size"))
+    groups = save(groups, "grouped")
+    # Buckets are cut before their rows get maps, so that maps are dealt once; small buckets take the small ones.
+    index = index.withColumnRenamed("gid", "id")
+    index = save(index.join(index.groupBy("token").agg(F.count("*").alias("m")), "token"), "index")
+    firsts = index.where(F.col("m") > FEW).groupBy("id").agg(F.slice(F.sort_array(F.collect_set("token")), 1, HEADS).alias("heads"))
+    rows = in_blocks(index, ["token"], block).join(groups.drop("size").withColumnRenamed("gid", "id").join(firsts, "id", "left"), "id")
+    few = F.col("m") <= FEW
+    rows = rows.withColumns({"map": F.when(few, F.col("fold")).otherwise(F.col("map")), "heads": F.when(~few, F.col("heads"))})
+    pairs = unconnected_pairs(rows, ["token"], num, den)
     rest = F.ceil(F.greatest("na", "nb") * num / den) - 1
-    return pairs.where((F.col("shared") + rest) * (den + num) >= (F.col("na") + F.col("nb")) * num).drop("shared")
+    pairs = save(pairs.where((F.col("shared") + rest) * (den + num) >= (F.col("na") + F.col("nb")) * num).drop("shared"), "group_pairs")
+
+    large = groups.where("size > 1").select("gid", "size", "low", "high")
+    sized = pairs.join(large.select(F.col("gid").alias("a"), F.col("size").alias("size_a")), "a", "left").join(large.select(F.col("gid").alias("b"), F.col("size").alias("size_b")), "b", "left")
+    sized = save(sized.fillna(1, ["size_a", "size_b"]), "sized_pairs")
+    single = F.greatest("size_a", "size_b") == 1
+    out = sized.where(single).select("a", "b", "na", "nb")
+    wide = sized.where(~single).withColumns({"blocks_a": F.ceil(F.col("size_a") / block).cast("int"), "blocks_b": F.ceil(F.col("size_b") / block).cast("int")})
+    many = members.join(large.select("gid"), "gid", "left_semi")
+    named = members.select(F.col("gid").alias("of"), F.col("rep").alias("id"), "n", F.col("component").alias("low"), F.col("component").alias("high"), "map")
+    mine = lambda blocks: F.pmod(F.xxhash64("id", F.lit(7)), F.col(blocks)).cast("int")
+    met = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias("met")
+    # The blocks of a come first, then those of b; a row goes to each block of the other group.
+    left = wide.select("a", "b", "blocks_a", met("blocks_b")).join(named, F.col("a") == F.col("of")).withColumns({"i": mine("blocks_a"), "j": F.col("blocks_a") + F.col("met")}).withColumn("block", F.col("i"))
+    right = wide.select("a", "b", "blocks_a", "blocks_b", met("blocks_a")).join(named, F.col("b") == F.col("of")).withColumns({"i": F.col("met"), "j": F.col("blocks_a") + mine("blocks_b")}).withColumn("block", F.col("j"))
+    own = many.select(F.col("gid").alias("a"), F.col("gid").alias("b"), F.col("rep").alias("id"), "n", F.col("component").alias("low"), F.col("component").alias("high"), "map")
+    own = in_blocks(own.join(large.where(F.col("low") != F.col("high")).select(F.col("gid").alias("a")), "a", "left_semi").join(large.select(F.col("gid").alias("a"), F.col("size").alias("m")), "a"), ["a", "b"], block)
+    shape = ["a", "b", "i", "j", "block", "id", "n", "low", "high", "map"]
+    expanded = left.select(shape).unionByName(right.select(shape)).unionByName(own.select(shape)).withColumnsRenamed({"a": "g", "b": "h"}).withColumn("heads", F.lit(None).cast("array<long>"))
+    return out.unionByName(unconnected_pairs(expanded, ["g", "h"], num, den).drop("shared")).distinct()
 
 
 def _counted(found: list[np.ndarray]) -> pa.RecordBatch:
-    rows, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-    return pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(4)), pa.array(n.astype(np.int64))], names=["a", "b", "na", "nb", "shared"])
+    rows, at = np.unique(np.concatenate(found)[:, :4], axis=0, return_inverse=True)
+    shared = np.zeros(len(rows), np.int64)
+    np.add.at(shared, at.ravel(), np.concatenate(found)[:, 4])
+    return pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(4)), pa.array(shared)], names=["a", "b", "na", "nb", "shared"])
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows in tables that never part the rows of one (token, i, j); a key has at most two blocks of rows."""
+def _whole_runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows, sorted, in tables that never part those equal in `by`: at most two blocks of rows."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows = pa.Table.from_batches(held)
-        if rows.num_rows < 50_000:
+        if rows.num_rows < 20_000:
             continue
-        key = [rows.column(c).to_numpy() for c in ("token", "i", "j")]
-        last = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+        last = np.flatnonzero(np.any([k != k[-1] for k in (rows.column(c).to_numpy() for c in by)], axis=0))
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
             yield rows.slice(0, cut).combine_chunks()
@@ -284,6 +384,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         F.min(F.struct(F.xxhash64("token", "gid").alias("o"), entry.alias("e")))["e"].alias("any"),
     )
     buckets = save(shared.drop("heat").join(heads, "token"), "buckets")
+    discard(shared)
     met = buckets.select(F.col("gid").alias("g"), F.col("n").alias("na"), F.explode(F.array("lead", "any")).alias("h"))
     met = met.where((F.col("g") != F.col("h.gid")) & _linkable("na", "h.n", num, den)).select("g", "na", F.col("h.gid").alias("h"), F.col("h.n").alias("nb")).distinct()
     maps = groups.select("gid", "map")
@@ -301,14 +402,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     member = members.select("rep", "map", "fold", "prefix_key", "n").join(known.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     member = member.join(groups.select("prefix_key", "n", "gid"), ["prefix_key", "n"])
     member = save(member.select("gid", "rep", "n", "component", "map", "fold"), "placed")
+    discard(members, groups)
     ends = member.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     opened = buckets.select("token", "gid").join(ends, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("low") != F.col("high")).select("token")
-    fold = member.select("gid", "rep", "n", "component", "fold")
-    rows = buckets.select("token", "gid").join(opened, "token").join(fold, "gid").drop("gid")
-    close = exact_round(rows, num, den)
+    close = exact_round(buckets.select("token", "gid").join(opened, "token"), member, num, den)
     maps = member.select("rep", "map")
     close = filter_by_maps(close.join(maps.toDF("a", "map_a"), "a").join(maps.toDF("b", "map_b"), "b"), num, den)
-    more = verify(docs, close.select("a", "b").distinct(), k, num, den)
+    more = verify(docs, close.select("a", "b"), k, num, den)
     links = links.union(more)
     found = components(links)
 

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import components, jaccard
 
@@ -65,14 +66,48 @@ def test_near_copies_against_brute_force(spark, seed, k, num, den, monkeypatch):
     assert run(spark, rows, k, num, den) == truth(rows, k, num, den)
 
 
-def test_blocks_cover_all_pairs(spark, monkeypatch):
-    """Buckets far over the block size give what one block gives."""
-    rows = [(1, r, 1, r, bytes(16)) for r in range(100)]
-    frame = spark.createDataFrame(rows, "token long, rep long, n long, component long, fold binary")
-    got = [tuple(r) for r in jaccard.exact_round(frame, 85, 100, block=7).collect()]
+MEMBERS = "gid long, rep long, n long, component long, map binary, fold binary"
+
+
+@pytest.mark.parametrize("groups", [100, 10, 1])
+def test_blocks_cover_all_pairs(spark, groups):
+    """Buckets and groups far over the block size give what one block gives: members of one group, or of two."""
+    members = spark.createDataFrame([(r % groups, r, 1, r, bytes(64), bytes(16)) for r in range(100)], MEMBERS)
+    index = spark.createDataFrame([(1, g) for g in range(groups)], "token long, gid long")
+    got = [tuple(r) for r in jaccard.exact_round(index, members, 85, 100, block=7).collect()]
     assert sorted(got) == [(a, b, 1, 1) for a in range(100) for b in range(a + 1, 100)]
 
 
+def test_a_pair_leaves_one_of_its_large_buckets(spark):
+    """90 groups that share 40 shingles each, and 10 that share other ones: pairs are made once, not 40 times."""
+    members = spark.createDataFrame([(r, r, 1, r, bytes(64), bytes(16)) for r in range(100)], MEMBERS)
+    index = [(t, g) for g in range(90) for t in range(-20, 20)] + [(t, g) for g in range(90, 100) for t in range(100, 103)]
+    index = spark.createDataFrame(index, "token long, gid long")
+    seen, real = [], jaccard.save
+    pairs = jaccard.unconnected_pairs
+    try:
+        jaccard.unconnected_pairs = lambda *a: seen.append(real(pairs(*a), "p")) or seen[-1]
+        got = [tuple(r)[:2] for r in jaccard.exact_round(index, members, 85, 100, block=32).collect()]
+    finally:
+        jaccard.unconnected_pairs = pairs
+    assert sorted(got) == [(a, b) for a in range(100) for b in range(a + 1, 100) if (a < 90) == (b < 90)]
+    assert {r["shared"] for r in seen[0].collect()} == {jaccard.UNCOUNTED, 3}
+
+
+def test_no_pair_of_connected_or_far_members(spark):
+    """One bucket of 600: pairs leave the tasks only where components and maps leave a link open."""
+    near, far = bytes(64), bytes([255]) * 64
+    rows = [(r, r, 50, 0 if r < 500 else r, near if r < 510 else far) for r in range(600)]
+    members = spark.createDataFrame([(*x, x[-1][:16]) for x in rows], MEMBERS)
+    flat = members.select(F.lit(1).alias("token"), F.col("gid").alias("id"), "n", F.col("component").alias("low"), F.col("component").alias("high"), "map", F.lit(600).alias("m"), F.lit(None).cast("array<long>").alias("heads"))
+    made = jaccard.unconnected_pairs(jaccard.in_blocks(flat, ["token"], 64), ["token"], 85, 100)
+    # 10 strays meet the 500 that are connected, and each other; the 90 far ones meet each other only.
+    assert made.count() == 10 * 500 + 45 + 90 * 89 // 2
+    members = spark.createDataFrame([(7, *x[1:], x[-1][:16]) for x in rows], MEMBERS)
+    index = spark.createDataFrame([(1, 7)], "token long, gid long")
+    assert jaccard.exact_round(index, members, 85, 100, block=64).count() == 10 * 500 + 45 + 90 * 89 // 2
+
+
 def test_small_documents(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.op6_ngram_jaccard(spark, small).collect()}
