@@ -45,7 +45,10 @@ def segments(url: Column) -> Column:
 
 
 def origin(url: Column) -> Column:
-    return F.concat(scheme(url), F.lit("://"), host(url))
+    """Scheme and host, and the port if it is not the scheme's own."""
+    port = F.regexp_extract(url, "^[hH][tT][tT][pP][sS]?://(?:[^/?#@]*@)?[^/?#:\\s]+:([0-9]+)", 1)
+    own = F.when(scheme(url) == "https", "443").otherwise("80")
+    return F.concat(scheme(url), F.lit("://"), host(url), F.when((port == "") | (port == own), "").otherwise(F.concat(F.lit(":"), port)))
 
 
 def classify(url: Column, own_host: str = "site.example") -> Column:

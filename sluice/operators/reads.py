@@ -83,6 +83,13 @@ def by_mode(metrics: DataFrame, modes: DataFrame) -> DataFrame:
     return modes.join(both, "metric_key", "left").select("metric_key", "mode", F.coalesce(value, F.lit(0.0)).alias("metric_value"))
 
 
+def trend_both(series: DataFrame) -> DataFrame:
+    """Heights of several series, each on its own scale (y_own) and all on one (y_shared)."""
+    point = lambda base, span, top: F.round(base - F.col("metric_value") / F.greatest(top, F.lit(1.0)) * span, 4)
+    own = series.withColumn("own", F.max("metric_value").over(W.partitionBy("metric_key")))
+    return own.select("metric_key", "day", point(92, 78, F.col("own")).alias("y_own"), point(90, 76, F.max("own").over(W.partitionBy())).alias("y_shared"))
+
+
 def source_comparison(metrics: DataFrame) -> DataFrame:
     """Page views, signups and custom events side by side for each source."""
     sums = [F.coalesce(F.sum(F.when(F.col("metric_key") == k, F.col("metric_value"))), F.lit(0.0)).alias(k) for k in ("page_views", "signups", "custom_events")]

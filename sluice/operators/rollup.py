@@ -31,15 +31,17 @@ ROLLUP = '{"rollup":"daily"}'
 
 
 def counters(events: DataFrame) -> DataFrame:
-    """Counts by event kind, path and referrer of the unsuppressed events."""
+    """Counts by event kind, path and referrer of the unsuppressed events.
+
+    Events are counted by all three together first, and the counts are spread and summed:
+    a row for each combination of a day, not three for each event.
+    """
     kind = F.when(F.col("event_name") == "page_view", "page_views").otherwise("custom_events")
-    each = F.array(
-        _metric(kind, F.lit(ROLLUP)),
-        _metric("events_by_path", dims(path=F.col("path"))),
-        _metric("events_by_referrer", dims(referrer=F.coalesce(F.nullif(F.col("referrer"), F.lit("")), F.lit("direct")))),
-    )
-    rows = events.where(~F.col("suppressed")).select("day", "source_id", F.explode(each).alias("m")).select("day", "source_id", "m.*")
-    return rows.groupBy("day", "source_id", "metric_key", "dimensions").agg(F.count("*").cast("double").alias("metric_value"))
+    referrer = F.coalesce(F.nullif(F.col("referrer"), F.lit("")), F.lit("direct"))
+    found = events.where(~F.col("suppressed")).groupBy("day", "source_id", kind.alias("kind"), "path", referrer.alias("referrer")).agg(F.count("*").alias("n"))
+    each = F.array(_metric(F.col("kind"), F.lit(ROLLUP)), _metric("events_by_path", dims(path=F.col("path"))), _metric("events_by_referrer", dims(referrer=F.col("referrer"))))
+    rows = found.select("day", "source_id", "n", F.explode(each).alias("m")).select("day", "source_id", "n", "m.*")
+    return rows.groupBy("day", "source_id", "metric_key", "dimensions").agg(F.sum("n").cast("double").alias("metric_value"))
 
 
 def first_seen(events: DataFrame, identity: str) -> DataFrame:

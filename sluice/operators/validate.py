@@ -24,6 +24,30 @@ def problems() -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks])), ",")
 
 
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+DATETIME = r"^\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d+)?)?Z$"
+WEB_KINDS = ("website", "vercel_web_analytics_drain")
+
+
+def more_problems() -> Column:
+    """The failed checks of an event's optional fields: null passes, and so do properties that are an object."""
+    wrong = lambda c, ok: F.col(c).isNotNull() & ~F.coalesce(ok, F.lit(False))
+    checks = [
+        ("source_id", wrong("source_id", F.col("source_id").rlike(UUID))),
+        ("tracking_key", wrong("tracking_key", F.length("tracking_key").between(4, 120))),
+        ("user_id", wrong("user_id", F.length("user_id") <= 160)),
+        ("user_agent", wrong("user_agent", F.length("user_agent") <= 1000)),
+        ("occurred_at", wrong("occurred_at", F.col("occurred_at").rlike(DATETIME) & F.try_to_timestamp("occurred_at").isNotNull())),
+        ("properties", wrong("properties", F.ltrim("properties").startswith("{") & F.try_parse_json("properties").isNotNull())),
+    ]
+    return F.array_join(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks])), ",")
+
+
+def accepts_events(kind: Column) -> Column:
+    """Whether a source of this kind takes tracker events; an event without a source passes."""
+    return kind.isNull() | kind.isin(*WEB_KINDS)
+
+
 def validated(events: DataFrame) -> DataFrame:
     rows = events.withColumn("problems", problems())
     return rows.withColumn("valid", F.col("problems") == "")

@@ -234,9 +234,7 @@ def _(spark, sf):
 
 @query("trend_points", f"""WITH {ROLLUP_SQL}, {SERIES_SQL} SELECT metric_key, day::VARCHAR AS day, round(92 - v / greatest(max(v) OVER (PARTITION BY metric_key), 1) * 78, 4)::DOUBLE AS y_own, round(90 - v / greatest(max(v) OVER (), 1) * 76, 4)::DOUBLE AS y_shared FROM series""")
 def _(spark, sf):
-    s = _named_series(spark, sf)
-    own, shared = reads.trend(s, False).withColumnRenamed("y", "y_own"), reads.trend(s, True).withColumnRenamed("y", "y_shared")
-    return text_day(own.join(shared, ["metric_key", "day"]))
+    return text_day(reads.trend_both(_named_series(spark, sf)))
 
 
 # Users
@@ -427,7 +425,7 @@ URLS = ["https://xxxxx.supabase.co", "https://example.com", "https://your-store.
 URL_TRUTH = [
     ("supabase", 0.98, "https://xxxxx.supabase.co"), ("website", 0.6, "https://example.com"), ("shopify", 0.98, "https://your-store.myshopify.com"), ("tiktok", 0.96, "https://www.tiktok.com/@account"),
     ("instagram", 0.94, "https://www.instagram.com/account"), ("vercel_project", 0.94, "https://vercel.com/team/project"), ("shopify", 0.98, "https://admin.shopify.com/store/abc"), ("website", 0.6, "https://www.instagram.com"),
-    ("custom_csv", 0.72, "report.CSV"), ("website", 0.99, "https://site.example"), (None, None, None), (None, None, None), ("website", 0.6, "https://vercel.com"), ("website", 0.6, "http://example.org"), (None, None, None),
+    ("custom_csv", 0.72, "report.CSV"), ("website", 0.99, "https://site.example"), (None, None, None), (None, None, None), ("website", 0.6, "https://vercel.com"), ("website", 0.6, "http://example.org:8080"), (None, None, None),
 ]
 URL_ROWS = [(u, *t) for u, t in zip(URLS, URL_TRUTH, strict=True)]
 
@@ -679,3 +677,6 @@ def _(spark, sf):
 def _(spark, sf):
     """The roll-up by micro-batches of the event log, which equals the batch roll-up."""
     return text_day(streams.rolled_up(spark, tables.web_events(spark, sf)))
+
+
+from . import platform  # noqa: E402, F401  registers its queries

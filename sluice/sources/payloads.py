@@ -21,7 +21,7 @@ def parse_bodies(bodies: DataFrame, *kept: str) -> DataFrame:
     """
     body = F.trim("body")
     as_array = F.from_json(body, f"array<struct<{', '.join(x.strip().replace(' ', ':') for x in DRAIN.split(','))}>>")
-    lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     as_lines = F.transform(lines, lambda x: F.from_json(x, DRAIN))
     events = F.when(body.startswith("["), as_array).otherwise(as_lines)
     return bodies.select("delivery_id", *kept, F.posexplode(events).alias("position", "event"))
