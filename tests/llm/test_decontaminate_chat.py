@@ -10,28 +10,64 @@ from sluice.llm import decontaminate as dc
 from .helpers import DOCS, odd_documents
 
 
-def test_masks_hit_all_overlaps_of_twelve_words_with_two_substitutions():
-    for gone in itertools.combinations(range(12), 2):
-        assert any(not any(p + o in gone for o in mask) for mask in dc.MASKS for p in range(12 - mask[-1]))
+def test_masks_hit_all_windows_that_count():
+    """Windows of 12 to 23 words, and of 8 to 11 in short items, with as many substitutions as 80 % leaves."""
+    for n in range(8, 24):
+        for gone in itertools.combinations(range(n), n - -(-n * 80 // 100)):
+            assert any(not any(p + o in gone for o in mask) for mask in dc.MASKS for p in range(n - mask[-1])), (n, gone)
 
 
-def test_verification_keeps_all_overlaps_of_masks_inside_a_longer_item():
-    own, other = [f"w{k}" for k in range(100)], [f"x{k}" for k in range(100)]
-    seeds, words = dc.SeedTable([(7, " ".join(own))], 12, 80), dc.Words()
-    for n, most in ((12, 2), (13, 2), (15, 2), (20, 2)):
-        for gone in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in range(most + 1)):
-            part = [f"sub{k}" if k in gone else own[40 + k] for k in range(n)]
-            left = [k for k in range(n) if k not in gone]
-            found = seeds.overlaps(words.of(" ".join(other[:30] + part + other[30:])))
-            assert found == [(7, 30 + left[0], 40 + left[0], left[-1] - left[0] + 1, len(left))], (n, gone)
+def plain_overlaps(docs, items, least_words=12, percent=80):
+    """All diagonals, all windows."""
+    out = []
+    for d, t in docs:
+        words = dc.RUN.findall((t or "").lower())
+        for i, x in items:
+            own = dc.RUN.findall((x or "").lower())
+            n = len(own)
+            for shift in range(1 - n, len(words)):
+                a, b = max(0, -shift), min(n, len(words) - shift)
+                same = [own[k] == words[k + shift] for k in range(a, b)]
+                least = n if n < 8 else min(least_words, max(8, n * percent // 100))
+                share = 100 if n < 8 else percent
+                covered = set()
+                for size in range(least, len(same) + 1) if n else []:
+                    for at in range(len(same) - size + 1):
+                        if 100 * sum(same[at : at + size]) >= share * size:
+                            covered.update(range(at, at + size))
+                k = 0
+                while k < len(same):
+                    if k in covered:
+                        end = k
+                        while end in covered:
+                            end += 1
+                        equal = [j for j in range(k, end) if same[j]]
+                        out.append((d, i, a + equal[0] + shift, a + equal[0], equal[-1] - equal[0] + 1, len(equal)))
+                        k = end
+                    k += 1
+    return sorted(out, key=str)
 
 
-def test_all_stretches_of_a_diagonal_are_given():
-    own, other = [f"w{k}" for k in range(100)], [f"x{k}" for k in range(100)]
-    seeds, words = dc.SeedTable([(7, " ".join(own))], 12, 80), dc.Words()
-    found = seeds.overlaps(words.of(" ".join(own[:20] + other[:30] + own[50:65] + other[30:])))
-    assert found == [(7, 0, 0, 20, 20), (7, 50, 50, 15, 15)]
-    assert seeds.overlaps(words.of(" ".join(other[:30] + own[40:49] + other[30:]))) == []
+def test_overlaps_with_substitutions_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "v%d" % rng.randint(0, 400)
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 3, 5, 7, 7, 8, 8, 9, 10, 11, 12, 13, 15, 16, 20, 24, 30, 40])]
+    items += [(None, "solo words of an item without an id stand here"), (90, None), (91, ""), (92, items[12][1])]
+    docs = []
+    for d in range(120):
+        ws = [word() for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            own = (rng.choice(items)[1] or "").split()
+            at = rng.randint(0, max(0, len(own) - 8))
+            part = own[at : at + rng.randint(7, 25)]
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 4])):
+                if part:
+                    part[rng.randrange(len(part))] = word()
+            ws += part + [word() for _ in range(rng.randint(0, 5))]
+        docs.append((d if d % 10 else None, " ".join(ws)))
+    got = dc.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = plain_overlaps(docs, items)
+    assert sorted(map(tuple, got), key=str) == want and len(want) > 100 and len({w[4] - w[5] for w in want}) > 3
 
 
 def test_planted_passages_are_found_and_others_left(spark, small):
@@ -49,8 +85,6 @@ def test_planted_passages_are_found_and_others_left(spark, small):
     got = {(r["doc_id"], r["item_id"]) for r in dc.find_overlaps(docs, bench).collect()}
     assert want <= got and all(d >= 100 for d, _ in got)
     assert {r["doc_id"] for r in dc.remove(docs, bench).collect()} == {k for k in range(40)}
-    parts = list(dc.blocks(bench, 100))
-    assert len(parts) > 3 and sorted(x for p in parts for x in p) == sorted(items)
 
 
 def test_against_brute_force_on_small_documents(spark, small):
@@ -62,7 +96,7 @@ def test_against_brute_force_on_small_documents(spark, small):
     assert {(r["doc_id"], r["item_id"]) for r in dc.op9_spaced_seed_decontamination(spark, small).collect()} == want
 
 
-def test_odd_documents_and_empty_tables(spark, tmp_path):
+def test_odd_documents_and_empty_tables(spark, monkeypatch):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     rows = odd_documents() + [(70, item, "en", "s", 0), (70, item, "en", "s", 0), (None, item, "en", "s", 0)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -71,6 +105,11 @@ def test_odd_documents_and_empty_tables(spark, tmp_path):
     assert dc.remove(docs, bench).count() == len(rows) - 3
     assert dc.remove(docs, bench.where("false")).count() == len(rows)
     assert dc.find_overlaps(docs.where("false"), bench).count() == 0
+    clash = docs.withColumnsRenamed({"lang": "_hits", "source": "_sid"}).selectExpr("*", "'x' AS _text", "1 AS iid", "2 AS seed")
+    assert dc.remove(clash, bench).columns == clash.columns
+    monkeypatch.setattr(dc, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(dc, "MAX_BITS", 1 << 15)
+    assert dc.remove(docs, bench).count() == len(rows) - 3
 
 
 CONV = "conv_id long, turn long, role string, text string"
