@@ -72,12 +72,12 @@ def resolve_source(events: DataFrame, sources: DataFrame) -> DataFrame:
 def identity_seen(probes: DataFrame, log: DataFrame) -> DataFrame:
     """probes (probe_id, source_id, day, anonymous_id, session_id) with whether the log has either identity that day.
 
-    Two semi-joins on equal keys, one for each identity, instead of one join with an OR.
+    Two joins on equal keys with the log's distinct identities, instead of one with an OR.
+    Each probe is answered by its own columns, whatever its id.
     """
-    found = None
-    for c in ("anonymous_id", "session_id"):
-        keys = log.select(F.col("source_id").alias("l_s"), F.col("day").alias("l_d"), F.col(c).alias("l_i"))
-        hit = probes.join(keys, F.col("source_id").eqNullSafe(F.col("l_s")) & (F.col("day") == F.col("l_d")) & (F.col(c) == F.col("l_i")), "left_semi").select("probe_id")
-        found = hit if found is None else found.union(hit)
-    found = found.distinct().withColumn("seen", F.lit(True))
-    return probes.join(found, "probe_id", "left").select("probe_id", F.coalesce("seen", F.lit(False)).alias("seen"))
+    rows, hits = probes, []
+    for k, c in enumerate(("anonymous_id", "session_id")):
+        keys = log.select(F.col("source_id").alias(f"_s{k}"), F.col("day").alias(f"_d{k}"), F.col(c).alias(f"_i{k}")).where(F.col(f"_i{k}").isNotNull()).distinct()
+        rows = rows.join(keys, F.col("source_id").eqNullSafe(F.col(f"_s{k}")) & (F.col("day") == F.col(f"_d{k}")) & (F.col(c) == F.col(f"_i{k}")), "left")
+        hits.append(F.col(f"_i{k}").isNotNull())
+    return rows.select("probe_id", (hits[0] | hits[1]).alias("seen"))

@@ -616,7 +616,7 @@ def _(spark, sf):
     return tables.read(spark, sf, "events").select("event_id", web.ip_hash(ip, "salt").alias("ip_hash"))
 
 
-@query("hmac_verify")
+@query("hmac_verify", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, true)) t(id, valid)")
 def _(spark, sf):
     """Good, wrong and missing signatures of bodies."""
     import hashlib

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import web
-from ..operators import modules, reads, runs, store, sync, validate
-from ..sources import deliveries, tables
+from ..operators import modules, reads, rollup, runs, store, sync, validate
+from ..sources import deliveries, payloads, tables
 from ..sources.tables import AS_OF, NOW, SOURCES_SQL, WEB_EVENTS
 from .catalogue import ALL_METRICS_SQL, ROLLUP_SQL, all_metrics, metrics, query, text_day
 from .streams import shared_folder
@@ -216,6 +216,19 @@ def _(spark, sf):
     return tables.rows(spark, RECORDS, "id int, body string, truth string").select("id", F.get_json_object(deliveries.user_record(F.col("body")), "$.id").alias("user_id"))
 
 
+@query("user_payload_metrics", """WITH u AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN DATE '2024-01-30' ELSE ('2024-01-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0'))::DATE END AS day, CASE c_custkey % 4 WHEN 0 THEN 'google' WHEN 1 THEN 'github' ELSE 'email' END AS provider, c_custkey % 3 = 0 AS confirmed FROM customer), d AS (SELECT day, count(*) AS n, count(*) FILTER (WHERE confirmed) AS c FROM u GROUP BY 1)
+SELECT day::VARCHAR AS day, 'signups' AS metric_key, '{"rollup":"daily"}' AS dimensions, n::DOUBLE AS metric_value FROM d UNION ALL SELECT day::VARCHAR, 'users_total', '{"rollup":"daily"}', (sum(n) OVER (ORDER BY day))::DOUBLE FROM d
+UNION ALL SELECT day::VARCHAR, 'confirmed_users', '{"rollup":"daily"}', (sum(c) OVER (ORDER BY day))::DOUBLE FROM d UNION ALL SELECT day::VARCHAR, 'signups_by_provider', '{"provider":"' || provider || '"}', count(*)::DOUBLE FROM u GROUP BY ALL""")
+def _(spark, sf):
+    """A connector's way from raw payloads to metrics: JSON arrays of users, taken apart and rolled up."""
+    c = tables.read(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    k = F.col("k")
+    created = F.when(k % 7 == 0, "not a date").otherwise(F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit("T08:00:00Z")))
+    user = F.struct(F.concat(F.lit("u"), k).alias("id"), created.alias("created_at"), F.when(k % 3 == 0, created).alias("confirmed_at"), F.when(k % 4 == 0, "google").alias("provider"), F.when(k % 4 == 1, F.struct(F.lit("github").alias("provider"))).alias("app_metadata"))
+    bodies = c.groupBy(F.floor(k / 50).alias("payload_id")).agg(F.to_json(F.collect_list(user)).alias("body"))
+    return text_day(rollup.user_metrics(payloads.exploded_users(bodies, AS_OF)).select("day", "metric_key", "dimensions", "metric_value"))
+
+
 # Sync runs
 
 REQUESTS = [("r1", 1, "src_drain", "webhook"), ("r2", 2, "src_users", "cron"), ("r3", 3, "src_photo", "manual"), ("r4", 4, "src_photo", "cron"), ("r5", 5, "src_gone", "cron"), ("r6", 6, "src_tracker", "cron"), ("r7", 7, "src_video", "cron")]
