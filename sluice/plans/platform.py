@@ -76,9 +76,10 @@ def _(spark, sf):
     return modules.website_insights(tables.web_events(spark, sf), tables.sources(spark), *reads.date_range("7d", AS_OF))
 
 
-@query("provider_leader_30d", f"""WITH {ALL_METRICS_SQL} SELECT json_extract_string(dimensions, '$.provider') AS provider, sum(metric_value)::DOUBLE AS signups FROM all_metrics WHERE metric_key = 'signups_by_provider' AND day BETWEEN '2024-01-01' AND '2024-01-30' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""")
+@query("provider_leader_30d", f"""WITH {ALL_METRICS_SQL} SELECT json_extract_string(dimensions, '$.provider') AS provider, sum(metric_value)::DOUBLE AS signups FROM all_metrics WHERE metric_key = 'signups_by_provider' AND day BETWEEN '1995-06-01' AND '1995-06-30' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""")
 def _(spark, sf):
-    return modules.provider_mix(all_metrics(spark, sf), *reads.date_range("30d", AS_OF))
+    """Of a month that has sign-ups."""
+    return modules.provider_mix(all_metrics(spark, sf), *reads.date_range("30d", "1995-06-30"))
 
 
 @query("source_comparison_30d", f"""WITH {TYPED_SQL} SELECT coalesce(source_id, source_type_key) AS source, min(source_type_key) AS source_type_key, {', '.join(f"coalesce(sum(metric_value) FILTER (WHERE metric_key = '{k}'), 0)::DOUBLE AS {k}" for k in ('page_views', 'signups', 'custom_events'))}
