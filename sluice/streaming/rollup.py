@@ -12,9 +12,10 @@ anew. Markers and checkpoint belong together, both in the state folder.
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,39 +34,76 @@ def batch_delta(events: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFram
 
 
 SEEN = "source_id string, day date, kind string, identity string"
+METRICS = "day date, source_id string, metric_key string, dimensions string, metric_value double, dimensions_hash string"
 
 
-def committed(spark: SparkSession, state_dir: str) -> list[tuple[int, str]]:
-    """(number, folder) of the batches with a marker, in order."""
+MARKER = "number long, path string, seen array<date>, metrics array<date>"
+
+
+def markers(spark: SparkSession, state_dir: str) -> list[Row]:
+    """The marker of each whole batch, in order: its number and folder, and the days that its parts hold."""
     try:
-        rows = spark.read.schema("number long, path string").parquet(f"{state_dir}/done/*").collect()
+        rows = spark.read.schema(MARKER).parquet(f"{state_dir}/done/*").collect()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = []
-    return sorted((r["number"], r["path"]) for r in rows)
+    return sorted(rows, key=lambda r: r["number"])
+
+
+def committed(spark: SparkSession, state_dir: str) -> list[tuple[int, str]]:
+    """(number, folder) of the batches with a marker, in order."""
+    return [(r["number"], r["path"]) for r in markers(spark, state_dir)]
+
+
+def of_days(spark: SparkSession, done: list[Row], part: str, schema: str, days: set[date | None] | None = None, newest: bool = False) -> DataFrame:
+    """A part of the state, seen or metrics, of some days (or all): a day's folders in all batches, or in the newest that has the day."""
+    found: dict[date | None, list[str]] = {}
+    for r in done:
+        for d in r[part] if days is None else days.intersection(r[part]):
+            found[d] = [*([] if newest else found.get(d, [])), f"{r['path']}/{part}/day={d or '__HIVE_DEFAULT_PARTITION__'}"]
+    paths = [p for each in found.values() for p in each]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    columns = schema.split(", ")
+    rows = spark.read.schema(", ".join(c for c in columns if c != "day date")).parquet(*paths)
+    day = F.regexp_extract(F.col("_metadata.file_path"), r"/day=([0-9]{4}-[0-9]{2}-[0-9]{2})/", 1).try_cast("date")
+    return rows.withColumn("day", day).select(*[c.split(" ")[0] for c in columns])
+
+
+def _by_day(rows: DataFrame, path: str) -> list[date | None]:
+    """Write rows in a folder for each day, and give the days."""
+    rows = rows.persist()
+    try:
+        rows.write.partitionBy("day").parquet(path)
+        return [r["day"] for r in rows.select("day").distinct().collect()]  # a row for each calendar day
+    finally:
+        rows.unpersist()
 
 
 def merge(batch: DataFrame, number: int, state_dir: str, key: str | None = None) -> None:
-    """Add a batch to the state, unless it is in it; of equal keys, the first event of all batches counts."""
+    """Add a batch to the state, unless it is in it; of equal keys, the first event of all batches counts.
+
+    Only the days that the batch holds are read and written.
+    """
     session = batch.sparkSession
-    done = committed(session, state_dir)
-    if number in dict(done):
+    done = markers(session, state_dir)
+    if any(r["number"] == number for r in done):
         return
-    before = [path for n, path in done if n < number]
+    before = [r for r in done if r["number"] < number]
     if key:
-        landed = session.read.schema(f"{key} string").parquet(*[f"{p}/keys" for p in before]) if before else None
+        landed = session.read.schema(f"{key} string").parquet(*[f"{r['path']}/keys" for r in before]) if before else None
         batch = once(batch, key, ["event_id"], landed)
     batch = batch.persist()
     try:
-        seen = session.read.schema(SEEN).parquet(*[f"{p}/seen" for p in before]) if before else session.createDataFrame([], SEEN)
-        delta, new = batch_delta(batch, seen)
+        days = {r["day"] for r in batch.select("day").distinct().collect()}
+        delta, new = batch_delta(batch, of_days(session, before, "seen", SEEN, days))
         path = f"{state_dir}/batches/{number}-{uuid.uuid4().hex[:8]}"
-        new.write.parquet(f"{path}/seen")
+        seen = _by_day(new, f"{path}/seen")
         if key:
             batch.where(F.col(key).isNotNull()).select(F.col(key).cast("string")).write.parquet(f"{path}/keys")
-        (increment(session.read.parquet(f"{before[-1]}/metrics"), delta) if before else delta).write.parquet(f"{path}/metrics")
-        session.createDataFrame([(number, path)], "number long, path string").coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/done/{number}")
+        metrics = _by_day(increment(of_days(session, before, "metrics", METRICS, days, newest=True), delta), f"{path}/metrics")
+        session.createDataFrame([(number, path, seen, metrics)], MARKER).coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/done/{number}")
     finally:
         batch.unpersist()
 
@@ -73,8 +111,8 @@ def merge(batch: DataFrame, number: int, state_dir: str, key: str | None = None)
 def run(spark: SparkSession, input_dir: str, schema: T.StructType, state_dir: str, files_per_batch: int | None = 1, key: str | None = None) -> DataFrame:
     """Roll up the event files under input_dir and return the metrics table.
 
-    Each batch writes a new version of the metrics and the identities that it saw first;
-    the version before is read, so a lost batch leaves the last whole version in place.
+    Each batch writes the days that it touches anew, metrics and the identities that it saw
+    first; a lost batch leaves the last whole version of each day in place.
     Without files_per_batch all files that are new make one batch. With a key, a column of the
     events, an event that is sent again adds nothing; a state folder keeps to one key.
     """
@@ -84,10 +122,7 @@ def run(spark: SparkSession, input_dir: str, schema: T.StructType, state_dir: st
     sink = stream.parquet(input_dir).writeStream.foreachBatch(lambda batch, number: merge(batch, number, state_dir, key))
     query = sink.option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    done = committed(spark, state_dir)
-    if not done:
-        return batch_delta(spark.createDataFrame([], schema), spark.createDataFrame([], SEEN))[0]
-    return spark.read.parquet(f"{done[-1][1]}/metrics")
+    return of_days(spark, markers(spark, state_dir), "metrics", METRICS, newest=True)
 
 
 def watermarked_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
