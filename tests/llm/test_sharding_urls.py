@@ -33,6 +33,41 @@ def test_small_documents_are_balanced(spark, small):
     assert all(len(s) == 1 for s in where.values())
 
 
+def plain_packing(items, capacity):
+    residual, out = [list(c) for c in capacity], [None] * len(items)
+    mean = [max(sum(abs(c[d]) for c in capacity) / len(capacity), 1e-9) for d in range(3)]
+    for k in sorted(range(len(items)), key=lambda k: (-max(items[k][d] / mean[d] for d in range(3)), k)):
+        dots = [sum(r[d] / mean[d] * items[k][d] / mean[d] for d in range(3)) for r in residual]
+        out[k] = max(range(len(dots)), key=lambda b: (round(dots[b], 9), -b))
+        residual[out[k]] = [r - x for r, x in zip(residual[out[k]], items[k], strict=True)]
+    return out
+
+
+def test_packing_against_brute_force():
+    rng = np.random.default_rng(4)
+    items = np.stack([rng.integers(1, 5000, 300), rng.integers(1, 900, 300), rng.integers(1, 4, 300)], axis=1).astype(float)
+    capacity = np.tile(items.sum(axis=0) / 7, (7, 1)) * rng.uniform(0.8, 1.2, (7, 1))
+    assert sharding.pack_vectors(items, capacity).tolist() == plain_packing(items.tolist(), capacity.tolist())
+    assert sharding.pack_vectors(np.empty((0, 3)), capacity).tolist() == []
+
+
+def test_many_bins_balance_bytes_tokens_and_rows(spark, small):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(10**6)
+    rows = [(k * 1000 + d, f"{t} {k}") for d, t in ((r["doc_id"], r["text"][:700]) for r in docs.collect() if r["text"]) for k in range(15)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign_shards(frame, 8, groups=300).collect()
+    check_shards(rows, got, 8)
+    for what in (lambda r: r["size"], lambda r: r["n_tokens"], lambda r: 1):
+        sums = Counter()
+        for r in got:
+            sums[r["shard"]] += what(r)
+        assert max(sums.values()) <= 1.03 * sum(sums.values()) / 8 and min(sums.values()) >= 0.97 * sum(sums.values()) / 8
+    tokenizer, text = Tokenizer.from_file(sharding.vocabulary("byte_bpe_50k.json")), dict(rows)
+    assert all(r["n_tokens"] == len(tokenizer.encode(text[r["doc_id"]], add_special_tokens=False).ids) + 1 for r in got[:200])
+
+
 def test_hot_group_is_split_and_odd_rows_are_kept(spark, tmp_path):
     rows = odd_documents() + [(1000 + k, "the same text again", "en", "s", 19) for k in range(600)] + [(5000 + k, f"own text {k} " * (k % 7), "en", "s", 0) for k in range(1200)]
     frame = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"lang": "item", "source": "slot"})
@@ -52,7 +87,7 @@ def test_written_shards_hold_all_documents(spark, small, tmp_path):
 def test_vectors_balance_in_all_dimensions():
     rng = np.random.default_rng(4)
     items = np.stack([rng.lognormal(6, 1, 3000), rng.lognormal(4, 1, 3000), np.ones(3000)], axis=1).astype(np.int64)
-    bins = sharding.pack_vectors(items, 8)
+    bins = sharding.pack_vectors(items, np.tile(items.sum(axis=0) / 8, (8, 1)))
     loads = np.stack([items[bins == b].sum(axis=0) for b in range(8)])
     assert (loads.max(axis=0) <= 1.05 * loads.mean(axis=0)).all()
 
