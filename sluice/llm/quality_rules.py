@@ -5,7 +5,7 @@ Every line with a word is judged on its own:
 * punctuation: over 15 % of its characters are signs (or over 60 % are capitals A-Z in a
   line of 12 characters or more),
 * navigation: two or more `|`, `»` or `·` separators, at least one to every four words,
-* boilerplate: a phrase of a fixed list, a line equal to an earlier one of the text, or
+* boilerplate: a phrase of a fixed list (English, German, French, Spanish), a line equal to an earlier one of the text, or
   over 30 % of its words repeat the word before.
 
 Lines that fail are removed; lines without a word stay. A document is rejected when over
@@ -13,7 +13,7 @@ half of its words go, or when the base rules fail it: under 10 words, or over 20
 the words in five-word windows that the text has twice or more.
 
 All of it is Spark's own functions over one row at a time: no shuffle, so no key can be
-hot, and Python never sees a text. Work for a text is n log n in its words.
+hot, and Python never sees a text. Work for a text is n log n in its words and lines.
 
 Defined results: a null text is one without words; it is rejected and its cleaned text is
 empty. Ties and repeated rows are judged alike. An empty table gives no rows. Extra
@@ -36,13 +36,28 @@ SIGNS = "#*$%&|<>!=_~^+\\{}[]@/"
 SEPARATORS = "|»·"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = " \t\n\x0b\x0c\r"
-PHRASES = ["cookie policy", "accept cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "enable javascript", "lorem ipsum", "subscribe to our newsletter", "skip to content"]
+PHRASES = [
+    "cookie policy", "accept cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "enable javascript", "lorem ipsum", "subscribe to our newsletter", "skip to content",
+    "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "hier klicken", "newsletter abonnieren", "zum inhalt springen",
+    "accepter les cookies", "politique de confidentialité", "conditions générales", "tous droits réservés", "cliquez ici", "aller au contenu",
+    "aceptar cookies", "política de privacidad", "términos de uso", "todos los derechos reservados", "haga clic aquí", "ir al contenido",
+]
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_bad_lines", "n_kept_words", "kept"]
 
 
+def one_of(characters: str) -> str:
+    """A regular expression for one of these characters."""
+    return "[" + "".join("\\" + c if not c.isalnum() else c for c in characters) + "]"
+
+
 def count_of(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    return F.regexp_count(text, F.lit(one_of(characters)))
+
+
+def without_spaces(text: Column) -> Column:
+    """The text without the characters of SPACES."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SPACES, text)
 
 
 def repeat_words(ws: Column, width: int = 5) -> Column:
@@ -78,7 +93,7 @@ def bad_line(line: Column, text: dict[str, Column]) -> Column:
     """
     n = F.length(line)
     signs = text["signs"] & (count_of(line, SIGNS) * 100 > n * 15)
-    shouted = (n >= 12) & (count_of(line, CAPITALS) * 100 > (n - count_of(line, SPACES)) * 60)
+    shouted = (n >= 12) & (F.regexp_count(line, F.lit("[A-Z]")) * 100 > F.length(without_spaces(line)) * 60)
 
     def repeats(ws: Column) -> Column:
         same = F.zip_with(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.size(ws)), lambda a, b: a == b)
@@ -92,44 +107,44 @@ def clean(docs: DataFrame, max_loss: float = 0.5) -> DataFrame:
     """docs with clean_text and the columns of MEASURES."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.drop("clean_text", *MEASURES).withColumn("_words", words(F.col("text"))).withColumn("_lines", F.split(text, "\n"))
-    has_word = lambda x: F.length(F.translate(x, SPACES, "")) > 0
+    has_word = lambda x: F.ltrim(x, F.lit(SPACES)) != ""
     full = F.filter("_lines", has_word)
     rows = rows.withColumn("_full", full).withColumn("_distinct", F.array_distinct("_full"))
-    # Lines are judged once each; copies of an earlier line are bad by that alone.
     ws = F.col("_words")
     flags = {
-        "signs": count_of(text, SIGNS) > 0, "bars": count_of(text, SEPARATORS) > 1, "phrases": has_phrase(text),
+        "signs": text.rlike(one_of(SIGNS)), "bars": count_of(text, SEPARATORS) > 1, "phrases": has_phrase(text),
         "stutters": F.exists(F.zip_with(ws, F.slice(ws, F.lit(2), F.greatest(F.size(ws), F.lit(1))), lambda a, b: a.eqNullSafe(b)), lambda x: x),
     }
-    rows = rows.withColumns({f"_{k}": v for k, v in flags.items()})
-    rows = rows.withColumn("_bad", F.filter("_distinct", lambda x: bad_line(x, {k: F.col(f"_{k}") for k in flags})))
+    rows = rows.withColumn("_flags", F.struct(*[v.alias(k) for k, v in flags.items()]))
+    # Only texts with a line twice need order: sorted, a copy stands next to the line before it; then lines go back to
+    # their places. What lambdas use of the whole text is bound by `let`: a column would be worked out anew for each line.
     some_twice = F.size("_full") != F.size("_distinct")
-    first_at = F.transform(F.col("_lines"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    ordered = let(F.sort_array(first_at), lambda s: F.transform(F.filter(s, lambda y, k: F.coalesce(F.get(s, k - 1)["x"] == y["x"], F.lit(False)) & has_word(y["x"])), lambda y: y["i"]))
-    again = F.when(some_twice, F.sort_array(ordered)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_again", again)
-    rows = rows.withColumn(
-        "_keep",
-        F.when((F.size("_bad") == 0) & ~some_twice, F.col("_lines")).otherwise(
-            F.filter("_lines", lambda x, i: ~F.coalesce(F.array_contains("_bad", x), F.lit(False)) & ~F.array_contains("_again", i))
-        ),
-    )
+    again = lambda s, y, k: F.coalesce(F.get(s, k - 1)["x"] == y["x"], F.lit(False)) & has_word(y["x"])
+    own = lambda x, f: bad_line(x, {k: f[k] for k in flags})  # false for a line without a word
+
+    def kept_lines(f: Column) -> Column:
+        by_text = F.sort_array(F.transform("_lines", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        marks = let(by_text, lambda s: F.sort_array(F.transform(s, lambda y, k: F.struct(y["i"].alias("i"), (again(s, y, k) | own(y["x"], f)).alias("bad")))))
+        in_order = let(marks, lambda m: F.filter("_lines", lambda x, i: ~F.get(m, i)["bad"]))
+        return F.when(some_twice, in_order).otherwise(F.filter("_lines", lambda x: ~own(x, f)))
+
+    rows = rows.withColumn("_keep", let(F.col("_flags"), kept_lines))
     n_words = F.size("_words").cast("long")
     rows = rows.withColumns({
         "n_words": n_words,
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
+        "word_chars": F.length(F.concat_ws("", "_words")).cast("long"),
         "n_symbols": count_of(text, SYMBOLS).cast("long"),
         "n_dup_lines": (F.size("_full") - F.size("_distinct")).cast("long"),
         "n_repeat_words": repeat_words(F.col("_words")).cast("long"),
         "n_lines": F.size("_full").cast("long"),
         "clean_text": F.array_join("_keep", "\n"),
     })
-    rows = rows.withColumn("n_bad_lines", F.col("n_lines") - F.size(F.filter("_keep", has_word)))
+    rows = rows.withColumn("n_bad_lines", F.when(F.size("_keep") == F.size("_lines"), F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.size(F.filter("_keep", has_word))))
     rows = rows.withColumn("n_kept_words", F.when(F.col("n_bad_lines") == 0, F.col("n_words")).otherwise(F.size(words(F.col("clean_text")))).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     enough = F.col("n_kept_words") >= (1 - max_loss) * F.col("n_words")
-    return rows.withColumn("kept", ~F.col("base_failed") & enough).drop("_words", "_lines", "_full", "_distinct", "_bad", "_again", "_keep", *[f"_{k}" for k in flags])
+    return rows.withColumn("kept", ~F.col("base_failed") & enough).drop("_words", "_lines", "_full", "_distinct", "_flags", "_keep")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
