@@ -10,7 +10,7 @@ their first turn are paired in conv_id order, two by two; the one with more assi
 text is chosen (ties: the smaller conv_id). One left alone is paired with a spoiled
 copy of itself: its last assistant turn is replaced by its first one or, where that is
 the same text, by an empty reply. Places inside a group of equal first turns are counted
-in ranges of conv_id, so a first turn that a third of all conversations share is no hot task.
+in ranges of conv_id with about equal rows, so a first turn that a third of all conversations share is no hot task.
 
 Defined results: rows without conv_id belong to no conversation and are left out. A null
 role is "user", a null text is empty. Turns are ordered by turn, role, text (null turn
@@ -47,7 +47,8 @@ def _said(turns: Column) -> Column:
 def preference_pairs(turns: DataFrame) -> DataFrame:
     """(chosen_id, rejected_id, chosen, rejected); rejected_id is null for a spoiled copy."""
     convs = conversations_of(turns).withColumn("first", F.sha2(F.concat_ws("\x1f", F.col("turns")[0]["role"], F.col("turns")[0]["text"]), 256))
-    placed = ranked(convs, ["first"], ["conv_id"], "place", by="conv_id").withColumn("place", F.floor(F.col("place") / 2))
+    placed = ranked(convs.select("first", "conv_id"), ["first"], ["conv_id"], "place", by="conv_id").select("conv_id", F.floor(F.col("place") / 2).alias("place"))
+    placed = convs.join(placed, "conv_id")
     rank = F.struct((-_said(F.col("turns"))).alias("said"), "conv_id", "turns")
     two = placed.groupBy("first", "place").agg(F.sort_array(F.collect_list(rank)).alias("two"))
     a, b = F.col("two")[0], F.get("two", F.lit(1))

@@ -29,11 +29,14 @@ _OWN: dict[str, str] = {}
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset
-    (tests, local mode) a folder of this process is taken.
+    The folder is the session's spark.checkpoint.dir. Only in local mode (tests) it may be
+    unset, and a folder of this process is taken; on a cluster that is an error, as
+    executors don't share local folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-sluice-")
@@ -41,6 +44,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: The tables that `save` has written and nothing has deleted yet, the newest last.
+MADE: list[DataFrame] = []
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of df: write it to the shared folder and read it again."""
     spark = df.sparkSession
@@ -48,6 +55,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.saved_at = path
+    MADE.append(saved)
     return saved
 
 
@@ -56,6 +64,7 @@ def discard(*saved: DataFrame) -> None:
     for df in saved:
         path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_at)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        MADE[:] = [x for x in MADE if x is not df]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,6 +77,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
+#: The one cache that a Python worker keeps from task to task, by name.
+_CACHE: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]):
+    """The cache of this name; another one that the worker holds is dropped, so caches of several operators never add up."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        _CACHE[name] = make()
+    return _CACHE[name]
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept from batch to batch.
 
@@ -131,23 +152,25 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str, per_buc
     `order` first: places are counted inside a bucket, and the buckets of a group get
     their first places from the (group, bucket) counts. No task holds a whole group.
     The place is stable for given rows; only rows equal in `order` may swap. Places follow
-    `order` inside a bucket only, unless `by`, an integer column without nulls that leads
-    `order`, is given: buckets then are ranges of it, and places follow `order` throughout.
+    `order` inside a bucket only, unless `by`, a column without nulls that leads `order` and
+    is no value of very many rows, is given: buckets then are ranges of it with about equal
+    rows (by Spark's sampling, written down), and places follow `order` throughout.
     """
-    size = df.agg(F.count("*"), *([F.min(by), F.max(by)] if by else [])).first()
-    buckets = max(32, -(-size[0] // per_bucket))
-    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
-    if by and size[0]:
-        bucket = F.floor((F.col(by).cast("decimal(38,0)") - F.lit(size[1]).cast("decimal(38,0)")) / max(1, -(-(size[2] - size[1] + 1) // buckets)))
-    df = df.withColumn("_bucket", bucket.cast("long"))
-    counts = df.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
-    first = counts.select(
-        *[F.col(c).alias(f"_g{k}") for k, c in enumerate(group)], F.col("_bucket").alias("_b"),
-        (F.sum("_n").over(W.partitionBy(*group).orderBy("_bucket")) - F.col("_n")).alias("_first"),
+    n_buckets = max(32, -(-df.count() // per_bucket))
+    bucket, b, first, n = (unused(df.columns, c) for c in ("_bucket", "_b", "_first", "_n"))
+    keys = [unused(df.columns, f"_g{k}") for k in range(len(group))]
+    if by:
+        df = save(df.repartitionByRange(n_buckets, by).withColumn(bucket, F.spark_partition_id().cast("long")), "ranges")
+    else:
+        df = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(n_buckets)).cast("long"))
+    counts = df.groupBy(*group, bucket).agg(F.count("*").alias(n))
+    firsts = counts.select(
+        *[F.col(c).alias(k) for c, k in zip(group, keys, strict=True)], F.col(bucket).alias(b),
+        (F.sum(n).over(W.partitionBy(*group).orderBy(bucket)) - F.col(n)).alias(first),
     )
-    same = F.col("_bucket") == F.col("_b")
-    for k, c in enumerate(group):
-        same &= F.col(c).eqNullSafe(F.col(f"_g{k}"))
-    local = F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(*order)).cast("long") - 1
-    out = df.withColumn(name, local).join(first, same)
-    return out.withColumn(name, F.col(name) + F.col("_first")).drop("_bucket", "_b", "_first", *[f"_g{k}" for k in range(len(group))])
+    same = F.col(bucket) == F.col(b)
+    for c, k in zip(group, keys, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(k))
+    local = F.row_number().over(W.partitionBy(*group, bucket).orderBy(*order)).cast("long") - 1
+    out = df.withColumn(name, local).join(firsts, same)
+    return out.withColumn(name, F.col(name) + F.col(first)).drop(bucket, b, first, *keys)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save, slices, table, unused, window_hashes
+from .common import save, slices, table, unused, window_hashes, worker_cache
 
 MASKS = ((0, 1, 3, 4, 5), (0, 1, 3, 6, 7), (0, 2, 5, 7, 8))
 MIN_ITEM = 8
@@ -131,7 +131,7 @@ def benchmark(items: DataFrame) -> Benchmark:
     """items (item_id, text) made ready for the join."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = worker_cache("words", Words)
         for batch in slices(batches, "text"):
             own = [words.of(t).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(own, pa.list_(pa.int64()))], names=["item_id", "own"])
@@ -168,7 +168,7 @@ def with_hits(docs: DataFrame, bench: Benchmark, name: str, keep: list[str]) ->
     kinds = pa.struct([("words", pa.list_(pa.int64())), ("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (masks, bloom), known = held.value, Words()
+        (masks, bloom), known = held.value, worker_cache("words", Words)
         for batch in slices(batches, -1):
             out = []
             for text in batch.columns[-1].to_pylist():

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, save, slices, table, window_hashes
+from .common import WordHashes, discard, save, slices, table, window_hashes, worker_cache
 from .components import components
 
 #: Shingles in more prefixes than this are put last; at most so many are.
@@ -92,7 +92,7 @@ def bits_apart(a: bytes, b: bytes) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    words = WordHashes()
+    words = worker_cache("word hashes", WordHashes)
     for batch in slices(batches, "text"):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         yield batch, [shingle_set(t, words, k) for t in texts]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, save, table
+from .common import ranked, save, table, unused
 from .tokens import encoded, vocabulary
 
 Run = tuple[int, int, int, int, int]
@@ -129,20 +129,22 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
 
 
 def pack(rows: DataFrame, keys: list[str], capacity: int) -> DataFrame:
-    """rows with sequence_id and offset; keys: columns that tell rows of one length apart."""
+    """rows with sequence_id and offset (in place of columns of these names); keys: columns that tell rows of one length apart."""
+    rows = rows.drop("sequence_id", "offset")
+    rank_name = unused(rows.columns, "_rank")
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # capacity rows at most
     runs = sorted(pack_lengths(counts, capacity))
     table_ = np.array(runs, np.int64).reshape(len(runs), 5)
     step = 1 << 40  # more ranks than a length can have
     start = table_[:, 0] * step + table_[:, 1]
-    placed = ranked(rows, ["length"], keys, "_rank")
-    schema = placed.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
+    placed = ranked(rows, ["length"], keys, rank_name)
+    schema = placed.drop(rank_name).schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column(rank_name).to_numpy()
             run = np.searchsorted(start, length * step + rank, "right") - 1
-            kept = batch.drop_columns(["_rank"])
+            kept = batch.drop_columns([rank_name])
             found = [pa.array(table_[run, 3] + rank - table_[run, 1]), pa.array(table_[run, 4])]
             yield pa.RecordBatch.from_arrays([*kept.columns, *found], names=[*kept.schema.names, "sequence_id", "offset"])
 

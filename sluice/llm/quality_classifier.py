@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save, slices, table, unused, window_hashes
+from .common import save, slices, table, unused, window_hashes, worker_cache
 
 DIM = 1 << 16
 SAMPLE_ROWS = 20_000
@@ -231,7 +231,7 @@ def with_features(docs: DataFrame, name: str, keep: list[str]) -> DataFrame:
     schema = T.StructType([*passed.schema.fields, T.StructField(name, T.StructType.fromDDL(FEATURES))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Shapes()
+        known = worker_cache("shapes", Shapes)
         for batch in slices(batches, -1):
             ids, texts = batch.columns[-1].flatten()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _columns(texts.cast(pa.binary()).to_pylist(), ids.to_pylist(), known)], names=[*batch.schema.names[:-1], name])

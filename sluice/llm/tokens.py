@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import save, scratch, slices, table
+from .common import counted_at_most, scratch, slices, table, worker_cache
 
 #: A place where every token ends, in any text: before a space that follows a non-space.
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -168,14 +168,9 @@ class Encoder:
         return out
 
 
-#: The encoder of each vocabulary in this worker, kept from task to task.
-ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
+    """The encoder of a vocabulary, kept in this worker from task to task."""
+    return worker_cache(f"encoder {path}", lambda: Encoder(path))
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -208,8 +203,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, encodi
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(at + stop - n), pa.array(n), lists], schema=arrow)
             at += int(stop[-1])
 
-    # A file for each range of doc_ids; Spark's sampling sizes the ranges alike.
-    parts = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"))
+    # A file for each range of doc_ids; Spark's sampling sizes the ranges alike. Rows that share a doc_id, or have none, may be cut too.
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumns({"size": F.length("text"), "at": F.monotonically_increasing_id()})
+    parts = rows.repartitionByRange("doc_id", "size", "at").sortWithinPartitions("doc_id", "size", "at").drop("size", "at")
     writer = parts.mapInArrow(encode, schema).write.option("compression", "zstd").option("parquet.block.size", row_group_mb << 20).option("parquet.page.size", page_kb << 10)
     if encoding == "delta":
         writer = writer.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false")
@@ -218,6 +214,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, encodi
     writer.parquet(path)
 
 
+def _small(files: DataFrame, bound: int = 50_000) -> DataFrame:
+    """files, a row for each file, to be broadcast if they are few enough (some 5 MB)."""
+    return F.broadcast(files) if counted_at_most(files, bound) else files
+
+
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """(file, doc_id, start, n_tokens) of each document, read from the metadata columns alone.
 
@@ -227,7 +228,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path).select("doc_id", "start_in_file", "n_tokens", F.col("_metadata.file_name").alias("file"))
     files = rows.groupBy("file").agg(F.min("doc_id").alias("least"), F.sum("n_tokens").alias("n"))
     first = files.select("file", (F.sum("n").over(W.orderBy(F.col("least").asc_nulls_first(), "file")) - F.col("n")).alias("first"))
-    return rows.join(F.broadcast(first), "file").select("file", "doc_id", (F.col("start_in_file") + F.col("first")).alias("start"), "n_tokens", "start_in_file")
+    return rows.join(_small(first), "file").select("file", "doc_id", (F.col("start_in_file") + F.col("first")).alias("start"), "n_tokens", "start_in_file")
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -254,4 +255,4 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_tokens(spark, path).select("file", "doc_id", "start_in_file", "ids").mapInArrow(digests, "file string, doc_id long, start_in_file long, n_tokens long, ids_crc32 long")
     index = token_index(spark, path)
     first = index.groupBy("file").agg(F.min(F.col("start") - F.col("start_in_file")).alias("first"))
-    return rows.join(F.broadcast(first), "file").select("doc_id", (F.col("start_in_file") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(_small(first), "file").select("doc_id", (F.col("start_in_file") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

@@ -4,7 +4,8 @@ Headers only (page id, payload digest, length) are shuffled by payload digest; t
 payload itself moves at most once, to its record. Archives are written by Spark's
 text sink: a WARC record is a header block, an empty line, a content block and two
 line ends, so two line ends are the sink's separator and every part file is one
-gzip-compressed archive. The reader streams a part file record by record.
+gzip member. Headers are fresh: ids, the date of writing, block and payload digests.
+The reader streams a part file record by record and checks payloads and blocks.
 
 Defined results: a null payload is an empty one. A null page_id is written without
 its id, as a response that nothing refers to. A null url has no target line; line
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,8 +52,9 @@ def resolve_revisits(headers: DataFrame, min_payload: int = 100) -> DataFrame:
     return large.join(shared, "digest").where(F.col("page_id") > F.col("first")).select("page_id", "digest", "first").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, min_payload: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write one record for each page (page_id, url, html) under path."""
+def write_archives(pages: DataFrame, path: str, min_payload: int = 100, date: str | None = None) -> None:
+    """Write one record for each page (page_id, url, html) under path; date: of the records, by default now."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     pages = pages.select(
         F.col("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"),
         F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"),
@@ -72,6 +75,7 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 100, date: st
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), uri),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
+        F.concat(F.lit("WARC-Block-Digest: sha256:"), F.sha2(block.cast("binary"), 256)),
         F.when(again, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(again, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("first"), F.col("digest")))),
         F.concat(F.lit("X-Page-ID: "), F.col("page_id").cast("string")),
@@ -145,6 +149,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         for fields, block in records_of(chunks()):
             kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
             payload = block[block.index(END.encode()) + len(END) :] if kind == "response" else None
+            if hashlib.sha256(block).hexdigest() != fields["warc-block-digest"].removeprefix("sha256:"):
+                raise ValueError(f"block of {fields['warc-record-id']} does not fit its digest")
             if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
                 raise ValueError(f"payload of {fields['warc-record-id']} does not fit its digest")
             out.append({

@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from sluice.llm import chat
 from sluice.llm import decontaminate as dc
 
@@ -177,6 +179,10 @@ def test_preferences_against_brute_force(spark, small):
     table = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text")
     assert formatted(table) == brute([tuple(r) for r in table.collect()])
     assert formatted(frame.where("false")) == []
+    clash = frame.selectExpr("*", "'x' AS first", "1 AS place", "'y' AS turns", "'z' AS _bucket", "'c' AS chosen")
+    assert formatted(clash) == got
+    far = frame.withColumn("conv_id", F.when(F.col("conv_id") == 11, 1 << 62).otherwise(F.col("conv_id")))
+    assert len(formatted(far)) == len(got)
 
 
 def test_op10_digests_are_of_the_formatted_texts(spark, small):

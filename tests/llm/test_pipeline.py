@@ -42,3 +42,16 @@ def test_stages_and_run(spark, small, tmp_path):
     check_packing([(d, t) for d, t in kept["decontamination"].items()], last.collect(), 1024)
     key = lambda frame: Counter(tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in frame.collect())
     assert key(corpus_pipeline.run(spark, small)) == key(last)
+
+
+def test_odd_rows_and_no_rows(spark, small):
+    from .helpers import DOCS, odd_documents
+
+    rows = [*odd_documents(), (60, "A plain text of more than ten words stands here, and it is kept by the rules.", "en", "s", 80)]
+    rows += [(k, f"A plain text of more than ten words stands here, number {k} of its kind, and stays.", None, None, None) for k in range(61, 90)]
+    for docs in (spark.createDataFrame(rows, DOCS), spark.createDataFrame([], DOCS)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = corpus_pipeline.save(stage(spark, docs, small), name)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == COLUMNS, name
+        assert {"doc_id", "piece", "sequence_id", "offset"} <= set(docs.columns)

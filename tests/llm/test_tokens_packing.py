@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -131,3 +132,38 @@ def test_runs_place_every_piece_once(seed):
             assert offset == at
             at += n
         assert at <= capacity and sum(3 * n > capacity for _, n in parts) <= 2
+
+
+def test_pack_keeps_clashing_columns(spark):
+    rows = spark.createDataFrame([(k, 0, 1 + k % 5, "a", "b", "c") for k in range(50)], "doc_id long, piece int, length long, _rank string, _bucket string, sequence_id string")
+    placed = packing.pack(rows, ["doc_id", "piece"], 8)
+    assert placed.columns == ["doc_id", "piece", "length", "_rank", "_bucket", "sequence_id", "offset"]
+    assert {(r["_rank"], r["_bucket"]) for r in placed.collect()} == {("a", "b")} and placed.schema["sequence_id"].dataType.typeName() == "long"
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_files_have_the_layout_asked_for(spark, small, tmp_path, encoding):
+    """Encodings, row groups of a set size, and page indexes, read off the files; a hot doc_id spans files."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    hot = docs.unionByName(spark.range(3000).selectExpr("7L AS doc_id", "concat('the same id, text ', id) AS text")).unionByName(spark.range(50).selectExpr("CAST(NULL AS LONG) AS doc_id", "'no id' AS text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokens.write_tokens(hot, f"{tmp_path}/t", tokens.vocabulary("word_bpe_49k.json"), 2, encoding, row_group_mb=1, page_kb=8)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "t").glob("part-*.parquet"))
+    index = tokens.token_index(spark, f"{tmp_path}/t").orderBy("start").collect()
+    assert len(index) == hot.count() and len({r["file"] for r in index if r["doc_id"] == 7}) > 1
+    at = 0
+    for r in index:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = [r["doc_id"] for r in index]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
+    for f in files:
+        meta = pq.read_metadata(f)
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            column = next(v for k, v in columns.items() if k.startswith("ids"))
+            wanted = {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} if encoding == "dictionary" else {"DELTA_BINARY_PACKED"}
+            assert wanted & set(column.encodings) and column.has_offset_index and column.compression == "ZSTD"

@@ -1,4 +1,6 @@
 import hashlib
+import re
+from datetime import UTC, datetime
 
 import pytest
 
@@ -38,7 +40,8 @@ def test_small_pages(spark, small):
 
 def test_odd_pages(spark, tmp_path):
     pages = odd_pages()
-    spark.createDataFrame(pages, PAGES).withColumnsRenamed({}).write.parquet(f"{tmp_path}/pages.parquet")
+    clash = {c: "'mine'" for c in ("digest", "n_bytes", "first", "r_page", "value", "payload_digest", "record_type")}
+    spark.createDataFrame(pages, PAGES).selectExpr("*", *[f"{v} AS {c}" for c, v in clash.items()]).write.parquet(f"{tmp_path}/pages.parquet")
     assert result(warc.op1_warc_revisits(spark, str(tmp_path))) == truth(pages)
 
 
@@ -53,6 +56,14 @@ def test_payloads_come_back_whole(spark, tmp_path):
             assert bytes(r["payload"]) == html[r["page_id"]]
 
 
+def test_headers_are_fresh(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame([(1, "http://a/", "x" * 200), (2, "http://b/", "x" * 200)], PAGES), f"{tmp_path}/w")
+    text = "".join(r[0] + "\n" for r in spark.read.text(f"{tmp_path}/w").collect())
+    dates = set(re.findall("WARC-Date: (.*?)\r?\n", text))
+    assert len(dates) == 1 and abs((datetime.now(UTC) - datetime.fromisoformat(dates.pop().strip())).total_seconds()) < 300
+    assert text.count("WARC-Block-Digest: sha256:") == 2 and text.count("WARC-Type: revisit") == 1
+
+
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], PAGES).write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op1_warc_revisits(spark, str(tmp_path)).count() == 0
