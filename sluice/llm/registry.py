@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fill_in_middle, jaccard, lexical_search, packing, quality_classifier, quality_rules, sharding, tokens, url_filters, warc
+from . import chat, decontaminate, fill_in_middle, jaccard, lexical_search, license_scan, packing, quality_classifier, quality_rules, sharding, tokens, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_spaced_seed_decontamination": decontaminate.op9_spaced_seed_decontamination,
         "op10_preference_format": chat.op10_preference_format,
+        "op11_license_scan": license_scan.op11_license_scan,
         "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
         "op13_lexical_search": lexical_search.op13_lexical_search,
     }
@@ -31,5 +32,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_revisits": warc.OP1_SQL, "op5_quality_rules": quality_rules.OP5_SQL, "op8_url_filters": url_filters.OP8_SQL,
-        "op12_fill_in_middle": fill_in_middle.OP12_SQL, "op13_lexical_search": lexical_search.OP13_SQL,
+        "op11_license_scan": license_scan.OP11_SQL, "op12_fill_in_middle": fill_in_middle.OP12_SQL, "op13_lexical_search": lexical_search.OP13_SQL,
     }
