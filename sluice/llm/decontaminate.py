@@ -8,14 +8,17 @@ a window and ignore the others; the hashes of the picks are the seeds of items a
 2. Suspects' seeds are joined to the items' seeds (by a broadcast of the items' side
    only where it is counted at BROADCAST_SEEDS at most). An item laid beside a text at
    one shift is verified once, however many seeds they share there.
-3. Around a hit, every window of `min_words` words or more with `percent` equal words
-   counts, and windows that meet are one stretch. All stretches are given, each from its
-   first to its last equal word, so substituted words at its ends are not in its length.
+3. Around a hit, every window of `min_words` words or more, of any length, with `percent` equal
+   words counts, and windows that overlap or touch are one stretch. All stretches are given, each
+   from its first to its last equal word, so substituted words at its ends are not in its length.
 
 The masks hit every window that counts, of items of MIN_ITEM words or more, at the default
 12 words and 80 % (the tests count all cases). Items of fewer than `min_words` / 0.8 words
 are met over 80 % of their words, MIN_ITEM at least; items of fewer than MIN_ITEM words
 whole and without a substitution: a mask of all their words is added for each such length.
+Items of fewer than `min_item_words` words take no part: `find_overlaps` gives the overlaps of
+all items, `remove` leaves out those under REMOVE_WORDS words, as a stray "the" among the items
+would empty the corpus. `benchmark(...).n_left_out` says how many these are.
 
 Texts are read once and never shuffled; only suspects' seeds and words are. A passage that
 very many texts share costs each of them its own hits. Seeds and Bloom filter are built by
@@ -43,6 +46,8 @@ from .common import save, slices, table, unused, window_hashes, worker_cache
 
 MASKS = ((0, 1, 3, 4, 5), (0, 1, 3, 6, 7), (0, 2, 5, 7, 8))
 MIN_ITEM = 8
+#: Words that an item must have to remove documents.
+REMOVE_WORDS = 4
 #: Bits of the filter for each seed, at most so many in all (128 MB), and its probes for a seed.
 SEED_BITS, MAX_BITS, PROBES = 64, 1 << 30, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Rows of 16 bytes.
@@ -125,10 +130,11 @@ class Benchmark:
     n_seeds: int
     lengths: tuple[int, ...]  # of items under MIN_ITEM words
     filter: Filter
+    n_left_out: int  # items with fewer words than asked for
 
 
-def benchmark(items: DataFrame) -> Benchmark:
-    """items (item_id, text) made ready for the join."""
+def benchmark(items: DataFrame, min_item_words: int = 1) -> Benchmark:
+    """items (item_id, text) of `min_item_words` words or more made ready for the join."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_cache("words", Words)
@@ -150,11 +156,12 @@ def benchmark(items: DataFrame) -> Benchmark:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (seeds, iids, places)], names=["seed", "iid", "item_place"])
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "item_id long, own array<long>")
-    held = save(rows.withColumn("iid", F.monotonically_increasing_id()), "items")
+    every = save(rows.withColumn("iid", F.monotonically_increasing_id()), "items")
+    held = every.where(F.size("own") >= min_item_words)
     seeds = save(held.select("iid", "own").mapInArrow(cut, "seed long, iid long, item_place long"), "seeds")
     n = seeds.count()
     lengths = held.select(F.size("own").alias("n")).where(F.col("n").between(1, MIN_ITEM - 1)).distinct().collect()  # MIN_ITEM - 1 rows at most
-    return Benchmark(held, seeds, n, tuple(sorted(r["n"] for r in lengths)), _filter(seeds, n))
+    return Benchmark(held, seeds, n, tuple(sorted(r["n"] for r in lengths)), _filter(seeds, n), every.count() - held.count())
 
 
 HITS = "words array<long>, seeds array<long>, places array<int>"
@@ -188,19 +195,23 @@ def with_hits(docs: DataFrame, bench: Benchmark, name: str, keep: list[str]) ->
 def stretches(own: np.ndarray, beside: np.ndarray, min_words: int, percent: int, whole: int) -> list[tuple[int, int, int]]:
     """(start, length, equal words) of all stretches of two equally long runs of words that count.
 
-    whole: words of the whole item. Windows of n to 2n - 1 words are enough: a longer one
-    that counts has a half that does.
+    whole: words of the whole item. With 100 - percent gained by an equal word and percent lost
+    by another, a window counts if its end stands no lower than its start. So from each start only
+    the farthest such end matters, which the greatest height from a place on finds by
+    bisection: all windows of any length in n log n.
     """
     same = own == beside
     if whole < MIN_ITEM:
         return [(0, whole, whole)] if len(same) == whole and same.all() else []
-    total = np.concatenate(([0], np.cumsum(same)))
     least = min(min_words, max(MIN_ITEM, whole * percent // 100))
+    height = np.concatenate(([0], np.cumsum(100 * same.astype(np.int64) - percent)))
+    highest = np.maximum.accumulate(height[::-1])[::-1]
+    start = np.arange(len(height))
+    end = np.searchsorted(-highest, -height, side="right") - 1
+    long = end - start >= least
     edges = np.zeros(len(same) + 1, np.int64)
-    for n in range(least, min(2 * least - 1, len(same)) + 1):
-        counts = 100 * (total[n:] - total[:-n]) >= percent * n
-        edges[: len(counts)] += counts
-        edges[n:] -= counts
+    np.add.at(edges, start[long], 1)
+    np.add.at(edges, end[long], -1)
     step = np.diff((np.cumsum(edges) > 0).astype(np.int8), prepend=0)
     out = []
     for low, high in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
@@ -232,21 +243,21 @@ def overlaps(suspects: DataFrame, bench: Benchmark, min_words: int, percent: int
     return rows.mapInArrow(verify, "sid long, item_id long, doc_start long, item_start long, length long, n_equal long")
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, min_words: int = 12, percent: int = 80) -> DataFrame:
+def find_overlaps(docs: DataFrame, items: DataFrame, min_words: int = 12, percent: int = 80, min_item_words: int = 1) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> doc_id, item_id, doc_start, item_start, length, n_equal (in words)."""
-    bench = benchmark(items)
+    bench = benchmark(items, min_item_words)
     rows = with_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bench, "hits", ["doc_id"]).where("hits IS NOT NULL")
     suspects = save(rows.select("doc_id", "hits.*").withColumn("sid", F.monotonically_increasing_id()), "suspects")
     return overlaps(suspects, bench, min_words, percent).join(suspects.select("sid", "doc_id"), "sid").select("doc_id", "item_id", "doc_start", "item_start", "length", "n_equal")
 
 
-def remove(docs: DataFrame, items: DataFrame, min_words: int = 12, percent: int = 80) -> DataFrame:
-    """docs without the rows that hold a passage of an item.
+def remove(docs: DataFrame, items: DataFrame, min_words: int = 12, percent: int = 80, min_item_words: int = REMOVE_WORDS) -> DataFrame:
+    """docs without the rows that hold a passage of an item of `min_item_words` words or more.
 
     All rows are written once with their hits; those without any are kept as they are, and
     only suspects meet the joins.
     """
-    bench = benchmark(items)
+    bench = benchmark(items, min_item_words)
     hits, sid = unused(docs.columns, "_hits"), unused(docs.columns, "_sid")
     rows = save(with_hits(docs, bench, hits, docs.columns).withColumn(sid, F.monotonically_increasing_id()), "hits")
     found = overlaps(rows.where(F.col(hits).isNotNull()).select(F.col(sid).alias("sid"), f"{hits}.*"), bench, min_words, percent)

@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import chat
@@ -72,6 +74,67 @@ def test_overlaps_with_substitutions_against_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == want and len(want) > 100 and len({w[4] - w[5] for w in want}) > 3
 
 
+def plain_stretches(same, least, percent):
+    covered = set()
+    for size in range(least, len(same) + 1):
+        for at in range(len(same) - size + 1):
+            if 100 * sum(same[at : at + size]) >= percent * size:
+                covered.update(range(at, at + size))
+    out, k = [], 0
+    while k < len(same):
+        if k in covered:
+            end = k
+            while end in covered:
+                end += 1
+            equal = [j for j in range(k, end) if same[j]]
+            out.append((equal[0], equal[-1] - equal[0] + 1, len(equal)))
+            k = end
+        k += 1
+    return out
+
+
+@pytest.mark.parametrize("n", [12, 20, 30, 40, 60, 100, 120])
+def test_extents_over_all_windows(n):
+    """Runs of up to 120 words, with exactly 20 % substituted words and with other shares."""
+    rng = np.random.default_rng(n)
+    for k in range(60 if n <= 60 else 12):
+        gone = n // 5 if k % 3 else int(rng.integers(0, n))
+        same = np.ones(n, bool)
+        same[rng.choice(n, gone, replace=False)] = False
+        own = np.arange(n)
+        assert dc.stretches(own, np.where(same, own, -1), 12, 80, n) == plain_stretches(same.tolist(), min(12, max(8, n * 80 // 100)), 80), (n, k)
+
+
+def test_recall_of_planted_overlaps_with_substitutions(spark):
+    """Passages of 15 to 60 words of items, with 0 to 3 words substituted: all are found, over their whole extent or more."""
+    rng = random.Random(8)
+    items = [(k, " ".join("b%d" % rng.randint(0, 9000) for _ in range(rng.randint(20, 120)))) for k in range(60)]
+    docs, want = [], {}
+    for d in range(400):
+        item, text = rng.choice(items)
+        ws = text.split()
+        n = rng.randint(15, min(60, len(ws)))
+        at = rng.randrange(len(ws) - n + 1)
+        part = ws[at : at + n]
+        inside = rng.sample(range(1, n - 1), d % 4)
+        for k in inside:
+            part[k] = "changed"
+        lead = ["c%d" % rng.randint(0, 9000) for _ in range(rng.randint(0, 40))]
+        docs.append((d, " ".join([*lead, *part, "tail"])))
+        want[d, item] = (len(lead), n)
+    got = {(r["doc_id"], r["item_id"]): (r["doc_start"], r["length"]) for r in dc.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
+def test_short_items_remove_nothing_but_are_found(spark):
+    docs = spark.createDataFrame([(1, "the cat"), (2, "of one two three four here"), (3, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "one two three four"), (3, "one two")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in dc.find_overlaps(docs, items).collect()} == {(1, 1), (2, 2), (2, 3)}
+    assert {r["doc_id"] for r in dc.remove(docs, items).collect()} == {1, 3}
+    assert dc.benchmark(items, dc.REMOVE_WORDS).n_left_out == 2
+    assert {r["doc_id"] for r in dc.remove(docs, items, min_item_words=1).collect()} == {3}
+
+
 def test_planted_passages_are_found_and_others_left(spark, small):
     rng = random.Random(2)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
