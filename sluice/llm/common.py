@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: The tables that `save` has written and nothing has deleted yet, the newest last.
-MADE: list[DataFrame] = []
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """The list of the tables that `save` writes inside the block, in this thread: who opens it knows when they are used up."""
+    made: list[DataFrame] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+        if (outer := _MADE.get()) is not None:
+            outer += made
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -55,16 +69,49 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.saved_at = path
-    MADE.append(saved)
+    if (made := _MADE.get()) is not None:
+        made.append(saved)
     return saved
 
 
 def discard(*saved: DataFrame) -> None:
-    """Delete tables that `save` wrote, once what was made of them is saved itself."""
+    """Delete tables that `save` wrote, once what was made of them is saved itself. Deleting one twice does no harm."""
     for df in saved:
         path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_at)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        MADE[:] = [x for x in MADE if x is not df]
+
+
+def kept_of(made: list[DataFrame], *kept: DataFrame) -> None:
+    """Delete the tables of this list but for `kept`."""
+    discard(*[df for df in made if not any(df is x for x in kept)])
+
+
+def text_hash(text: str = "text") -> Column:
+    """With doc_id it tells rows apart by text; equal rows are alike."""
+    return F.xxhash64(text)
+
+
+#: Rows of a doc_id and a hash that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def without(docs: DataFrame, gone: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) without the rows in gone, and of the rows in again one of each.
+
+    gone, again: saved tables (doc_id, h) without repeats; h: `text_hash`. The result reads docs and these
+    two small tables, nothing else that was made on the way.
+    """
+    h, g_doc, g_h = (unused(docs.columns, c) for c in ("_h", "_g_doc", "_g_h"))
+    same = F.col("doc_id").eqNullSafe(F.col(g_doc)) & (F.col(h) == F.col(g_h))
+
+    def join(rows: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+        marks = marks.toDF(g_doc, g_h)
+        return rows.join(F.broadcast(marks) if counted_at_most(marks, BROADCAST_ROWS) else marks, same, how)
+
+    rows = join(docs.withColumn(h, text_hash()), gone, "left_anti")
+    if again is not None and again.take(1):
+        rows = join(rows, again, "left_anti").unionByName(join(rows, again, "left_semi").dropDuplicates(["doc_id", h]))
+    return rows.drop(h)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

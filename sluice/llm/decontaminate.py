@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save, slices, table, unused, window_hashes, worker_cache
+from .common import kept_of, save, slices, table, tables_made, text_hash, unused, window_hashes, without, worker_cache
 
 MASKS = ((0, 1, 3, 4, 5), (0, 1, 3, 6, 7), (0, 2, 5, 7, 8))
 MIN_ITEM = 8
@@ -271,5 +271,12 @@ def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark passage."""
-    return remove(docs, table(spark, sf_dir, "benchmark"))
+    """The documents that hold no benchmark passage. Of what is made on the way only the ids of rows to drop stay."""
+    with tables_made() as made:
+        bench = benchmark(table(spark, sf_dir, "benchmark"), REMOVE_WORDS)
+        rows = with_hits(docs.select("doc_id", "text", text_hash().alias("h")), bench, "hits", ["doc_id", "h"]).where("hits IS NOT NULL")
+        suspects = save(rows.select("doc_id", "h", "hits.*").withColumn("sid", F.monotonically_increasing_id()), "suspects")
+        found = overlaps(suspects, bench, 12, 80).select("sid").distinct()
+        gone = save(suspects.select("sid", "doc_id", "h").join(found, "sid").select("doc_id", "h").distinct(), "gone")
+    kept_of(made, gone)
+    return without(docs, gone)

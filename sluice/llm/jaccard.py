@@ -1,7 +1,8 @@
 """Jaccard join of word shingles by grouped prefixes, exact, down to components.
 
-1. Every text becomes its set of 64-bit shingle hashes. Equal sets are one class (the
-   least doc_id stands for it), so exact copies cost a row each and no pair.
+1. Every text becomes its set of 64-bit shingle hashes. Equal sets (by a 128-bit digest) are
+   one class with a number of its own, whatever doc_ids its rows have, so exact copies
+   cost a row each and no pair, and texts that share a doc_id are told apart.
 2. A total order of shingles puts the most frequent ones last (counted over all
    documents); the hash breaks ties. The first n - ceil(t n) + 1 shingles of a set in
    that order are its prefix: sets that link share a shingle of their prefixes.
@@ -23,8 +24,13 @@ HOT_SHINGLES frequent shingles; the order may be any, so that bound cuts no resu
 
 Defined results: a null, empty or blank text has an empty set and links with nothing. A
 text with fewer than k words is one shingle, the whole sequence. A null doc_id links
-with nothing and has a null component. Repeated rows are judged by row. An empty table
-gives no rows. Extra columns are dropped.
+with nothing and has a null component. Rows are judged each by its own text, whether they
+repeat or share a doc_id with other texts: a row's component_id is the least doc_id that its text
+reaches. An empty table gives no rows. Extra columns are dropped. `stage` keeps one row of each
+component, the least by doc_id, then text hash; of rows equal in doc_id and text, a null doc_id included,
+one; and rows without a word, or without a doc_id, otherwise as they are.
+
+Everything written on the way is deleted before the result is given, which is a table of numbers.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, save, slices, table, window_hashes, worker_cache
+from .common import WordHashes, counted_at_most, discard, kept_of, save, slices, table, tables_made, text_hash, window_hashes, without, worker_cache
 from .components import components
 
 #: Shingles in more prefixes than this are put last; at most so many are.
@@ -99,13 +105,13 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    at = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    at = np.cumsum([0, *(len(a) for a in arrays)]).astype(np.int32)
     values = np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values))
 
 
 def scan_sets(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray | None = None, with_maps: bool = True) -> DataFrame:
-    """(doc_id, n, key, prefix, map, fold, heat) of each document; fold: the map in FOLD_BYTES bytes.
+    """(doc_id, h, n, key, prefix, map, fold, heat) of each document; h: the text's hash, key: the set's digest, fold: the map in FOLD_BYTES bytes.
 
     hot: sorted hashes of the shingles that come last. heat: their share of the set in millionths.
     """
@@ -129,11 +135,11 @@ def scan_sets(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray | Non
                 maps.append(parity_map(s) if with_maps else None)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(prefixes), pa.array(maps, pa.binary()), pa.array([m and folded(m, FOLD_BYTES) for m in maps], pa.binary()), pa.array(heat, pa.int32())],
-                names=["doc_id", "n", "key", "prefix", "map", "fold", "heat"],
+                [batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(prefixes), pa.array(maps, pa.binary()), pa.array([m and folded(m, FOLD_BYTES) for m in maps], pa.binary()), pa.array(heat, pa.int32())],
+                names=["doc_id", "h", "n", "key", "prefix", "map", "fold", "heat"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n long, key binary, prefix array<long>, map binary, fold binary, heat int")
+    return docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("h")).mapInArrow(scan, "doc_id long, h long, n long, key binary, prefix array<long>, map binary, fold binary, heat int")
 
 
 def _linkable(a: str, b: str, num: int, den: int):
@@ -154,21 +160,35 @@ def filter_by_maps(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(keep, schema)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """pairs (a, b) of doc_ids, each once -> the links among them, by whole sets."""
+def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """pairs (a, b) of classes, each once -> the links among them, by whole sets, saved. classes: key, doc (a doc_id of it), rep."""
     pairs = save(pairs, "candidates")
-    ids = save(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    some = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+    ids = save(pairs.select("a").union(pairs.select("b")).distinct().toDF("rep").join(classes, "rep"), "ids")
+    few = counted_at_most(ids, BROADCAST_IDS)
+    side = lambda df: F.broadcast(df) if few else df
+    some = docs.select(F.col("doc_id").cast("long"), "text").join(side(ids.select("doc").distinct()), F.col("doc_id") == F.col("doc"), "left_semi")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(sets)], names=["id", "s"])
-
-    sets = save(some.mapInArrow(scan, "id long, s array<long>"), "sets")
+        seen: set[bytes] = set()  # rows that repeat in a task give their set once; only a cache
+        for _, sets in _sets(batches, k):
+            new = []
+            for s in sets:
+                if (key := xxhash.xxh3_128_digest(s.tobytes())) not in seen:
+                    new.append((key, s))
+                    seen = seen if len(seen) < 200_000 else set()
+                    seen.add(key)
+            yield pa.RecordBatch.from_arrays([pa.array([key for key, _ in new], pa.binary()), _lists([s for _, s in new])], names=["key", "s"])
+
+    sets = save(some.mapInArrow(scan, "key binary, s array<long>").join(side(ids.select("key", "rep")), "key").select(F.col("rep").alias("id"), "s"), "sets")
+    used_up = [pairs, ids, sets]
+    if sets.count() > ids.count():
+        sets = save(sets.dropDuplicates(["id"]), "sets")
+        used_up.append(sets)
     joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return joined.where(both * (den + num) >= (F.size("sa") + F.size("sb")) * num).select("a", "b")
+    links = save(joined.where(both * (den + num) >= (F.size("sa") + F.size("sb")) * num).select("a", "b"), "links")
+    discard(*used_up)
+    return links
 
 
 def _pairs_of_runs(at: np.ndarray, stop: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -359,16 +379,28 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id; links: Jaccard >= num / den."""
-    spark = docs.sparkSession
+def jaccard_rows(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, h, n, component, component_id of each row, saved; links: Jaccard >= num / den.
+
+    component: a number of the component, null where a row links with nothing.
+    """
+    with tables_made() as made:
+        rows = _rows(docs, k, num, den)
+    kept_of(made, rows)
+    return rows
+
+
+def _rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     first = save(scan_sets(docs, k, num, den, with_maps=False).drop("map", "fold", "heat"), "sets1")
-    classes = save(first.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    rows = save(first.select("doc_id", "h", "n", "key"), "rows")
+    classes = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc"))
+    classes = save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     counted = first.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > HOT_COUNT)
     hot = np.array([r[0] for r in counted.orderBy(F.desc("count"), "token").limit(HOT_SHINGLES).select("token").collect()], np.int64).view(np.uint64)
+    discard(first)
 
     # Classes in the final order, and their groups.
-    again = scan_sets(docs, k, num, den, hot).join(classes, "key").where(F.col("doc_id") == F.col("rep")).drop("doc_id", "key")
+    again = scan_sets(docs, k, num, den, hot).join(classes, "key").where(F.col("doc_id") == F.col("doc")).drop("doc_id", "h", "key", "doc")
     members = save(again.dropDuplicates(["rep"]).withColumn("prefix_key", F.xxhash64("prefix", "n")), "members")
     groups = members.groupBy("prefix_key", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("size"), F.min_by("map", "rep").alias("map"), F.min_by("heat", "rep").alias("heat"), F.min_by("prefix", "rep").alias("prefix"))
     groups = save(groups.withColumn("map", F.when(F.col("size") == 1, F.col("map"))), "groups")
@@ -377,6 +409,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     index = groups.select(F.explode("prefix").alias("token"), "gid", "n", "heat", "size")
     many = index.groupBy("token").agg(F.sum("size").alias("s")).where(F.col("s") > 1).select("token")
     shared = save(index.drop("size").join(many, "token"), "shared")
+    slim = save(groups.drop("prefix", "heat"), "groups")
+    discard(groups)
+    groups = slim
     # The groups of a bucket that round 1 compares the others to.
     entry = F.struct("gid", "n")
     heads = shared.groupBy("token").agg(
@@ -395,7 +430,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # A group's members meet the other group's first member; members of one group meet their first.
     near = near.union(near.select("h", "g")).distinct().join(inside.toDF("g", "m"), "g", "left").select(F.coalesce("m", "g").alias("x"), F.col("h").alias("y"))
     near = near.union(inside.where(F.col("rep") != F.col("gid")).select("rep", "gid"))
-    links = save(verify(docs, near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), k, num, den), "links")
+    links = verify(docs, classes, near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), k, num, den)
     known = save(components(links), "components")
 
     # Round 2: buckets whose members are not all connected.
@@ -408,15 +443,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     close = exact_round(buckets.select("token", "gid").join(opened, "token"), member, num, den)
     maps = member.select("rep", "map")
     close = filter_by_maps(close.join(maps.toDF("a", "map_a"), "a").join(maps.toDF("b", "map_b"), "b"), num, den)
-    more = verify(docs, close.select("a", "b"), k, num, den)
-    links = links.union(more)
-    found = components(links)
+    more = verify(docs, classes, close.select("a", "b"), k, num, den)
+    found = components(links.union(more))
+
+    # Back to rows. A component's least doc_id stands for it.
+    named = save(classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("c_key"), "doc", F.coalesce("component", "rep").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("doc").alias("least"))
+    named = named.drop("doc").join(least, "component")
+    links_with_some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = rows.join(named, links_with_some & (F.col("key") == F.col("c_key")), "left")
+    return save(out.select("doc_id", "h", "n", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")), "components")
 
-    # Back to rows.
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("c_key"), F.coalesce("component", "rep").alias("component"))
-    out = first.select("doc_id", "n", "key").join(named, F.col("key") == F.col("c_key"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id; links: Jaccard >= num / den."""
+    return jaccard_rows(docs, k, num, den).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,7 +465,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest doc_id. Documents without a doc_id or words stay."""
-    found = jaccard_components(docs.select("doc_id", "text"))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("g_doc")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("g_doc"), "left_anti")
+    """One document of each component: that with the smallest doc_id. Documents without a doc_id or words stay, each once."""
+    rows = jaccard_rows(docs.select("doc_id", "text"))
+    row = F.struct("doc_id", "h")
+    stays = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(row).alias("stays"))
+    gone = save(rows.join(stays, "component").where(row != F.col("stays")).select("doc_id", "h").distinct(), "gone")
+    again = rows.where("n > 0").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+    again = save(again.join(gone.toDF("g", "g_h"), F.col("doc_id").eqNullSafe(F.col("g")) & (F.col("h") == F.col("g_h")), "left_anti"), "again")
+    discard(rows)
+    return without(docs, gone, again)

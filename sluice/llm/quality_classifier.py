@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save, slices, table, unused, window_hashes, worker_cache
+from .common import kept_of, save, slices, table, tables_made, text_hash, unused, window_hashes, without, worker_cache
 
 DIM = 1 << 16
 SAMPLE_ROWS = 20_000
@@ -318,13 +318,15 @@ def fit(features: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Votes, np.
     plan = spark.createDataFrame(plan, "pattern string, label double, good boolean, chance long")
     drawn = features.join(F.broadcast(plan), "pattern").where(F.pmod("pick", F.lit(1_000_000)) < F.col("chance"))
     drawn = drawn.select("good", "label", "pick", "n_shapes", "bins", "index", "count").dropDuplicates(["pick"])
-    rows = []
-    for good in (False, True):
-        rows += drawn.where(F.col("good") == good).orderBy(F.xxhash64("pick"), "pick").limit(each).collect()
     bins, found = bin_features(), []
-    for r in rows:
-        index = np.concatenate((np.array(r["index"], np.int64), bins[np.arange(len(SHARES)), np.frombuffer(r["bins"], np.uint8)]))
-        found.append((index, np.concatenate((np.array(r["count"]) / max(1, r["n_shapes"]), np.full(len(SHARES), 0.3))).astype(np.float32), r["label"]))
+    for good in (False, True):
+        rows = drawn.where(F.col("good") == good).orderBy(F.xxhash64("pick"), "pick").limit(each).select("label", "n_shapes", "bins", "index", "count").toArrow()
+        for batch in rows.to_batches():
+            columns = (batch.column(c) for c in ("label", "n_shapes", "bins", "index", "count"))
+            for y, n, tenths, index, count in zip(*columns, strict=True):
+                own = bins[np.arange(len(SHARES)), np.frombuffer(tenths.as_py(), np.uint8)]
+                at = np.concatenate((index.values.to_numpy().astype(np.int64), own))
+                found.append((at, np.concatenate((count.values.to_numpy() / max(1, n.as_py()), np.full(len(SHARES), 0.3))).astype(np.float32), y.as_py()))
     return model, train(found)
 
 
@@ -364,6 +366,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str, threshold: float =
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
-    """The documents that the scorer, fitted on these documents, takes for good."""
-    name = unused(docs.columns, "_p_good")
-    return fitted_scores(docs, name, docs.columns).where(F.col(name) >= threshold).drop(name)
+    """The documents that the scorer, fitted on these documents, takes for good. Of what is made on the way only the rejected rows' ids stay."""
+    with tables_made() as made:
+        scored = fitted_scores(docs.select("doc_id", "text", text_hash().alias("h")), "p", ["doc_id", "h"])
+        gone = save(scored.where(F.col("p") < threshold).select("doc_id", "h").distinct(), "gone")
+    kept_of(made, gone)
+    return without(docs, gone)

@@ -154,3 +154,58 @@ def test_components_of_chains_and_stars(spark, seed):
             parent[y] = x
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(parent)}
+
+
+def row_truth(rows, k, num, den):
+    """Brute force by row: the least doc_id that a row's text reaches; null and empty rows link with nothing."""
+    linked = [i for i, (d, t) in enumerate(rows) if d is not None and shingles(t, k)]
+    sets = {i: shingles(rows[i][1], k) for i in linked}
+    parent = {i: i for i in linked}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in linked:
+        for b in linked:
+            if a < b and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                parent[find(b)] = find(a)
+    least = {}
+    for i in linked:
+        least[find(i)] = min(rows[i][0], least.get(find(i), rows[i][0]))
+    return [(d, len(shingles(t, k)), least[find(i)] if i in parent else d) for i, (d, t) in enumerate(rows)], {i: find(i) for i in linked}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rows_that_share_doc_ids_and_null_ids(spark, seed):
+    rng = random.Random(seed)
+    texts = [t for _, t in near_copies(seed)]
+    rows = [(rng.choice([None, *range(40)]), rng.choice(texts)) for _ in range(160)] + [(1, ""), (None, None), (2, " ")]
+    rows += rows[:30]
+    got = spark.createDataFrame(rows, "doc_id long, text string")
+    want, component = row_truth(rows, 5, 80, 100)
+    assert Counter(tuple(r) for r in jaccard.jaccard_components(got).collect()) == Counter(want)
+    # The stage keeps one row of each component, and one of equal rows without a doc_id.
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.stage(spark, got.selectExpr("*", "1 AS h", "2 AS _g_doc"), "").collect())
+    by = defaultdict(set)
+    for i, c in component.items():
+        by[c].add(rows[i])
+    assert sum(1 for k in kept.elements() if k[0] is not None and shingles(k[1], 5)) == len(by)
+    for own in by.values():
+        stays = [k for k in own if k in kept]
+        assert len(stays) == 1 and kept[stays[0]] == 1 and stays[0][0] == min(d for d, _ in own)
+    for k in set(rows):
+        if k[0] is None and shingles(k[1], 5):
+            assert kept[k] == 1
+        elif not shingles(k[1], 5):
+            assert kept[k] == rows.count(k)
+
+
+def test_texts_of_one_doc_id_keep_their_links(spark):
+    x = [" ".join(f"x{k}" for k in range(40)), " ".join(f"x{k}" for k in range(1, 41))]
+    y = [" ".join(f"y{k}" for k in range(40)), " ".join(f"y{k}" for k in range(1, 41))]
+    frame = spark.createDataFrame([(1, x[0]), (1, y[0]), (2, x[1]), (3, y[1])], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(frame).collect()} == {(1, 1), (2, 1), (3, 1)}
+    frame = spark.createDataFrame([(1, x[0]), (2, x[1]), (2, y[0])], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard.stage(spark, frame, "").collect()) == [(1, x[0]), (2, y[0])]

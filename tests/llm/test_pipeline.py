@@ -55,3 +55,36 @@ def test_odd_rows_and_no_rows(spark, small):
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert docs.columns == COLUMNS, name
         assert {"doc_id", "piece", "sequence_id", "offset"} <= set(docs.columns)
+
+
+def test_lazy_inputs_repeated_ids_and_clashing_columns(spark, small):
+    """Stages fed with results that are not written, on two corpora in turn; ids that repeat; extra columns."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id % 60 AS doc_id", "text", "lang", "source", "n_chars", "1 AS h", "'x' AS _h", "2 AS _g_doc", "3 AS kept", "4 AS p")
+    first, second = docs.where("n_chars % 2 = 0"), docs.where("n_chars % 2 = 1")
+    out = []
+    for corpus in (first, second):
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            corpus = stage(spark, corpus, small)
+            assert set(corpus.columns) <= set(docs.columns), name
+        out.append(corpus)
+    again = []
+    for corpus in (first, second):
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            corpus = corpus_pipeline.save(stage(spark, corpus, small), name)
+        again.append(corpus)
+    key = lambda frame: Counter((r["doc_id"], r["text"]) for r in frame.collect())
+    assert [key(x) for x in out] == [key(x) for x in again] and all(key(x) for x in out)
+    rest = corpus_pipeline.STAGES[3][1](spark, out[0], small)
+    assert set(key(rest)) <= set(key(out[0]))
+    corpus_pipeline.STAGES[4][1](spark, rest, small).write.format("noop").mode("overwrite").save()
+
+
+def test_run_leaves_no_large_tables(spark, small, tmp_path, monkeypatch):
+    import os
+
+    from sluice.llm import common
+
+    monkeypatch.setitem(common._OWN, spark.sparkContext.applicationId, f"file://{tmp_path}")
+    corpus_pipeline.run(spark, small).count()
+    left = {d.rsplit("-", 1)[0] for d in os.listdir(tmp_path)}
+    assert left <= {"decontamination", "pieces", "ranges"}, left
