@@ -2,47 +2,27 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-documents; the last returns the packed pieces. As a stage's docs are read from what was
-written, the tables in the shared folder that the stage before made on its way are used up
-when it begins, and it deletes them first.
+documents; the last returns the packed pieces.
+
+A filtering stage's result reads its docs and at most two small tables of the ids of rows to drop or
+to keep once; it has deleted everything else that it wrote on the way. So results may be used late,
+in any order, and in several threads: a stage never touches what another one needs. `run`
+deletes those small tables, and the docs of a stage, when the stage's result is written.
 """
 
 from __future__ import annotations
 
-import threading
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import decontaminate, jaccard, packing, quality_classifier, quality_rules
-from sluice.llm.common import MADE, discard, save, table
-
-_LEFT = threading.local()
-
-
-def _tidy(stage):
-    """The stage, deleting first what the stage before left in the shared folder (of this thread and session)."""
-
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
-        was, used_up = getattr(_LEFT, "tables", (app, []))
-        if was == app:
-            discard(*[df for df in used_up if any(df is x for x in MADE)])
-        before = len(MADE)
-        _LEFT.tables = (app, [])
-        out = stage(spark, docs, sf_dir)
-        _LEFT.tables = (app, MADE[before:])
-        return out
-
-    run_stage.__doc__ = stage.__doc__
-    return run_stage
-
+from sluice.llm.common import discard, save, table, tables_made
 
 STAGES = [
-    ("quality_rules", _tidy(quality_rules.stage)),
-    ("quality_classifier", _tidy(quality_classifier.stage)),
-    ("near_duplicates", _tidy(jaccard.stage)),
-    ("decontamination", _tidy(decontaminate.stage)),
-    ("packing", _tidy(packing.stage)),
+    ("quality_rules", quality_rules.stage),
+    ("quality_classifier", quality_classifier.stage),
+    ("near_duplicates", jaccard.stage),
+    ("decontamination", decontaminate.stage),
+    ("packing", packing.stage),
 ]
 
 #: The fitted scorer and the tokenizer have no SQL form; the tests hold run() against brute force.
@@ -51,10 +31,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = save(docs, name)
-            if k:
-                discard(before)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with tables_made() as made:
+            out = stage(spark, docs, sf_dir)
+        kept = save(out, name)
+        discard(*made, *([docs] if k else []))
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
