@@ -679,4 +679,4 @@ def _(spark, sf):
     return text_day(streams.rolled_up(spark, tables.web_events(spark, sf)))
 
 
-from . import platform  # noqa: E402, F401  registers its queries
+from . import ingestion, platform  # noqa: E402, F401  register their queries

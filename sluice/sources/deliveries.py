@@ -42,11 +42,11 @@ def items(body: Column) -> Column:
     return F.when(trimmed.startswith("["), F.when(_parses(trimmed), parts).otherwise(whole)).when(_parses(trimmed), whole).otherwise(lines)
 
 
-def parse(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """bodies (delivery_id, body) -> (events: delivery_id, position, event; rejects: delivery_id, position, line)."""
-    rows = bodies.select("delivery_id", F.posexplode(items(F.col("body"))).alias("position", "item"))
-    good = rows.where("item.ok").select("delivery_id", "position", F.from_json("item.text", _ddl()).alias("event"))
-    return good, rows.where("NOT item.ok").select("delivery_id", "position", F.col("item.text").alias("line"))
+def parse(bodies: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
+    """bodies (delivery_id, body) -> (events: delivery_id, position, event; rejects: delivery_id, position, line), both with the columns kept."""
+    rows = bodies.select("delivery_id", *kept, F.posexplode(items(F.col("body"))).alias("position", "item"))
+    good = rows.where("item.ok").select("delivery_id", *kept, "position", F.from_json("item.text", _ddl()).alias("event"))
+    return good, rows.where("NOT item.ok").select("delivery_id", *kept, "position", F.col("item.text").alias("line"))
 
 
 def properties(event: Column) -> Column:
@@ -75,14 +75,14 @@ def _escaped(text: Column) -> Column:
     return F.regexp_replace(F.to_json(F.struct(text.alias("x"))), r'^\{"x":"(?s)(.*)"\}$', "$1")
 
 
-def to_log(events: DataFrame, source_url: Column) -> DataFrame:
-    """Rows of the event log from parsed events."""
+def to_log(events: DataFrame, source_url: Column, *kept: str) -> DataFrame:
+    """Rows of the event log from parsed events, with the columns kept."""
     from ..functions.web import resolve_url
 
     e = F.col("event")
     agent = F.when(F.length(e["clientName"]) > 0, F.concat(e["clientName"], F.when(F.length(e["clientVersion"]) > 0, F.concat(F.lit(" "), e["clientVersion"])).otherwise("")))
     return events.select(
-        "delivery_id", "position",
+        "delivery_id", "position", *kept,
         F.when(e["eventType"] == "pageview", "page_view").otherwise(F.coalesce(F.nullif(e["eventName"], F.lit("")), F.lit("custom_event"))).alias("event_name"),
         F.coalesce(e["deviceId"], F.lit(DEVICE_DEFAULT)).alias("anonymous_id"), F.coalesce(e["sessionId"], F.lit(SESSION_DEFAULT)).alias("session_id"),
         F.coalesce(e["path"], F.lit("/")).alias("path"), resolve_url(e["path"], e["origin"], source_url).alias("url"), e["referrer"].alias("referrer"), agent.alias("user_agent"),
