@@ -1,10 +1,11 @@
-"""Queries of the streams: deliveries end to end, bounded state, watermarks, cursors."""
+"""Queries of ingestion: deliveries end to end, bounded state, watermarks, cursors, resolved URLs, canonical properties."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import canonical, urls
 from ..operators import cursor
 from ..sources import tables
 from ..sources.tables import WEB_EVENTS
@@ -115,3 +116,33 @@ def _(spark, sf):
     rows = cursor.pull(orders, "o_orderdate", "o_orderkey", base)
     sums = [F.count("*").alias("orders"), F.count_distinct("o_orderkey").alias("keys"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.max("o_orderdate").alias("mark")]
     return text_day(rows.groupBy("o_orderstatus").agg(*sums), "mark")
+
+
+REFERENCES = ["../a/./b", "?q=1", "#top", "//Other.example/x/../y", "/r/../s//t", "HTTPS://Abs.example:443/a/../b?c", "../../../..", "plain", "", "mailto:x@y"]
+_DIR = "list_slice(string_split(p, '/'), 2, len(string_split(p, '/')) - 1)"
+
+
+@query("url_resolution", f"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) AS s, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS r, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '[?][^#]*') AS q, page_id % {len(REFERENCES)} AS k FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN r || '/' || array_to_string(list_concat(list_slice({_DIR}, 1, len({_DIR}) - 1), ['a', 'b']), '/') WHEN 1 THEN r || p || '?q=1' WHEN 2 THEN r || p || q || '#top' WHEN 3 THEN s || '://other.example/y' WHEN 4 THEN r || '/s//t' WHEN 5 THEN 'https://abs.example/b?c'
+WHEN 6 THEN r || '/' WHEN 7 THEN r || '/' || array_to_string(list_concat({_DIR}, ['plain']), '/') WHEN 8 THEN r || p || q ELSE 'mailto:x@y' END AS resolved, CASE WHEN page_id % 4 = 0 THEN r || '/x' WHEN page_id % 4 = 1 THEN r WHEN page_id % 4 = 2 THEN 'https://site.example/x' ELSE 'https://site.example' END AS event_url FROM u""")
+def _(spark, sf):
+    """References of every kind on every page, and an event's URL by what it has of path, origin and source."""
+    k, n = F.col("page_id"), len(REFERENCES)
+    root = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)
+    path, base, source = F.when(k % 2 == 0, "y/../x"), F.when(k % 4 < 2, root), F.when(k % 4 == 2, urls.DEFAULT_URL)
+    reference = F.element_at(F.array(*map(F.lit, REFERENCES)), (k % n + 1).cast("int"))
+    return tables.read(spark, sf, "pages").select("page_id", urls.resolve(reference, F.col("url")).alias("resolved"), urls.event_url(path, base, source).alias("event_url"))
+
+
+@query("canonical_properties", """SELECT event_id, '{"a":{"k":' || json_extract(props, '$.k') || ',"t":"' || event_type || '","z":[' || user_id || ',{"b":true,"u":"' || user_id || '"}]},"e":' || event_id || '}' AS properties, true AS same, user_id % 2 = 0 AS matched FROM events""")
+def _(spark, sf):
+    """Each event's nested properties in two orders of keys, which have one canonical text; a number matches as a number only."""
+    e = tables.read(spark, sf, "events")
+    k, text = F.get_json_object("props", "$.k"), lambda *parts: F.concat(*[F.lit(p) if p[:1] != "$" else F.col(p[1:]).cast("string") for p in parts])
+    e = e.withColumn("k", k)
+    one = text('{"e": ', "$event_id", ', "a": {"z": [', "$user_id", ', {"u": "', "$user_id", '", "b": true}], "t": "', "$event_type", '", "k": ', "$k", "}}")
+    other = text('{"a":{"t":"', "$event_type", '","k":', "$k", ',"z":[', "$user_id", ',{"b":true,"u":"', "$user_id", '"}]},"e":', "$event_id", "}")
+    rows = e.select("event_id", "user_id", canonical.canonical_json(one).alias("properties"), (canonical.canonical_hash(one) == canonical.canonical_hash(other)).alias("same"))
+    flag = F.when(F.col("user_id") % 2 == 0, '{"even":1}').otherwise('{"even":"1"}')
+    hit = canonical.where_dimensions(rows.withColumn("dimensions", flag), {"even": 1}).select(F.col("event_id").alias("hit"))
+    return rows.join(hit, F.col("event_id") == F.col("hit"), "left").select("event_id", "properties", "same", F.col("hit").isNotNull().alias("matched"))

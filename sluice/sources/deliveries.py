@@ -77,7 +77,7 @@ def _escaped(text: Column) -> Column:
 
 def to_log(events: DataFrame, source_url: Column, *kept: str) -> DataFrame:
     """Rows of the event log from parsed events, with the columns kept."""
-    from ..functions.web import resolve_url
+    from ..functions.urls import event_url
 
     e = F.col("event")
     agent = F.when(F.length(e["clientName"]) > 0, F.concat(e["clientName"], F.when(F.length(e["clientVersion"]) > 0, F.concat(F.lit(" "), e["clientVersion"])).otherwise("")))
@@ -85,7 +85,7 @@ def to_log(events: DataFrame, source_url: Column, *kept: str) -> DataFrame:
         "delivery_id", "position", *kept,
         F.when(e["eventType"] == "pageview", "page_view").otherwise(F.coalesce(F.nullif(e["eventName"], F.lit("")), F.lit("custom_event"))).alias("event_name"),
         F.coalesce(e["deviceId"], F.lit(DEVICE_DEFAULT)).alias("anonymous_id"), F.coalesce(e["sessionId"], F.lit(SESSION_DEFAULT)).alias("session_id"),
-        F.coalesce(e["path"], F.lit("/")).alias("path"), resolve_url(e["path"], e["origin"], source_url).alias("url"), e["referrer"].alias("referrer"), agent.alias("user_agent"),
+        F.coalesce(e["path"], F.lit("/")).alias("path"), event_url(e["path"], e["origin"], source_url).alias("url"), e["referrer"].alias("referrer"), agent.alias("user_agent"),
         e["country"].alias("country"), e["deviceType"].alias("device_type"), properties(e).alias("properties"), F.date_format(F.timestamp_millis(e["timestamp"]), "yyyy-MM-dd'T'HH:mm:ss").alias("occurred_at"),
     )
 
