@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, urls
 from ..operators import cursor
-from ..sources import tables
-from ..sources.tables import WEB_EVENTS
+from ..operators.rollup import ROLLUP
+from ..sources import connectors, tables
+from ..sources.tables import AS_OF, WEB_EVENTS
 from ..streaming import bounded, ingest
-from .catalogue import ROLLUP_SQL, query, text_day
+from .catalogue import ALL_METRICS_SQL, ROLLUP_SQL, query, text_day
 from .streams import shared_folder
 
 
@@ -146,3 +147,56 @@ def _(spark, sf):
     flag = F.when(F.col("user_id") % 2 == 0, '{"even":1}').otherwise('{"even":"1"}')
     hit = canonical.where_dimensions(rows.withColumn("dimensions", flag), {"even": 1}).select(F.col("event_id").alias("hit"))
     return rows.join(hit, F.col("event_id") == F.col("hit"), "left").select("event_id", "properties", "same", F.col("hit").isNotNull().alias("matched"))
+
+
+def _pulled_users(spark, sf) -> DataFrame:
+    """Users in payloads of 50; every seventh is first sent as an unconfirmed user of another provider, and as it is in a later payload, which comes after all retries."""
+    u = tables.users(spark, sf)
+    seventh = F.col("user_id") % 7 == 0
+    fields = lambda provider, sure: F.to_json(F.struct(F.concat(F.lit("u"), F.col("user_id")).alias("id"), F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("created_at"), F.when(sure, "2024-01-30").alias("confirmed_at"), F.struct(provider.alias("provider")).alias("app_metadata")))
+    true = fields(F.col("provider"), F.col("confirmed"))
+    sent = F.when(seventh, F.array(F.struct(F.lit(0).alias("later"), fields(F.lit("sso"), F.lit(False)).alias("text")), F.struct(F.lit(1).alias("later"), true.alias("text")))).otherwise(F.array(F.struct(F.lit(0).alias("later"), true.alias("text"))))
+    rows = u.select((F.col("user_id") / 50).cast("long").alias("g"), F.explode(sent).alias("s")).select((F.col("g") + F.col("s.later") * F.lit(10**13)).alias("payload_id"), "s.text")
+    one = rows.groupBy("payload_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list("text"), ","), F.lit("]")).alias("body"))
+    return one.select("payload_id", F.lit("src_users").alias("source_id"), F.lit("supabase").alias("kind"), "body")
+
+
+def _pulled_orders(spark, sf) -> DataFrame:
+    """Orders with their lines in payloads of 20."""
+    line = F.struct(F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), (F.col("l_returnflag") == "R").alias("returned"))
+    lines = tables.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    rows = tables.read(spark, sf, "orders").select("o_orderkey", "o_orderdate").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    text = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), "lines"))
+    one = rows.groupBy((F.col("o_orderkey") / 20).cast("long").alias("payload_id")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(text), ","), F.lit("]")).alias("body"))
+    return one.select("payload_id", F.lit("src_shop").alias("source_id"), F.lit("shopify").alias("kind"), "body")
+
+
+def mixed_payloads(spark, sf) -> DataFrame:
+    """Payloads of all kinds in one table, every fifth sent twice, and some of a kind that has no connector."""
+    web = tables.web_events(spark, sf).where("source_id = 'src_drain'")
+    drain = bodies(web, F.floor(F.col("event_id") / 10)).select(F.col("delivery_id").alias("payload_id"), "source_id", F.lit("vercel_web_analytics_drain").alias("kind"), "body")
+    other = tables.read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("payload_id"), F.lit("src_other").alias("source_id"), F.lit("other").alias("kind"), F.col("n_name").alias("body"))
+    rows = drain.unionByName(_pulled_users(spark, sf)).unionByName(_pulled_orders(spark, sf))
+    again = F.when(F.col("payload_id") % 5 == 0, F.array(F.lit(0), F.lit(10**12))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("again", F.explode(again)).withColumn("payload_id", F.col("payload_id") + F.col("again")).drop("again").unionByName(other)
+
+
+_MONEY = "CAST(l_extendedprice AS DECIMAL(18,4))"
+
+
+@query("connector_bundle", f"""WITH {ALL_METRICS_SQL}, shop AS (SELECT o_orderdate::DATE AS day, count(DISTINCT o_orderkey)::DOUBLE AS orders, coalesce(sum({_MONEY}), 0)::DOUBLE AS gross_sales, coalesce(sum(CAST({_MONEY} * (1 - CAST(l_discount AS DECIMAL(8,4))) AS DECIMAL(18,4))), 0)::DOUBLE AS net_payment, coalesce(sum({_MONEY}) FILTER (WHERE l_returnflag = 'R'), 0)::DOUBLE AS refunds
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), r AS (SELECT day, source_id, 'vercel_web_analytics_drain' AS source_type_key, metric_key, dimensions, metric_value FROM metrics_daily WHERE source_id = 'src_drain'
+UNION ALL SELECT day, source_id, 'supabase', metric_key, dimensions, metric_value FROM user_metrics WHERE metric_key IN ('signups', 'signups_by_provider')
+UNION ALL SELECT DATE '{AS_OF}', 'src_users', 'supabase', 'users_total', '{ROLLUP}', count(*) FROM users UNION ALL SELECT DATE '{AS_OF}', 'src_users', 'supabase', 'confirmed_users', '{ROLLUP}', count(*) FROM users WHERE confirmed
+UNION ALL SELECT day, 'src_shop', 'shopify', metric_key, '{ROLLUP}', metric_value FROM shop UNPIVOT (metric_value FOR metric_key IN (orders, gross_sales, net_payment, refunds)))
+SELECT day::VARCHAR AS day, source_id, source_type_key, metric_key, dimensions, sha256(dimensions) AS dimensions_hash, CASE WHEN metric_key IN ('gross_sales', 'net_payment', 'refunds') THEN 'usd' ELSE 'count' END AS unit, metric_value FROM r""")
+def _(spark, sf):
+    """Drain, user and commerce payloads in one table to their typed metrics, in one pass."""
+    return text_day(connectors.normalize(mixed_payloads(spark, sf), AS_OF)[0])
+
+
+@query("connector_rejects", f"""WITH {WEB_EVENTS}, g AS (SELECT DISTINCT event_id // 10 AS g FROM web_events WHERE source_id = 'src_drain'), x AS (SELECT 'src_drain' AS source_id, 'vercel_web_analytics_drain' AS kind, '{{broken' AS line, CASE WHEN g * 2 % 5 = 0 THEN 2 ELSE 1 END AS n FROM g WHERE g % 3 = 1 UNION ALL SELECT 'src_other', 'other', n_name, 1 FROM nation)
+SELECT source_id, kind, line, sum(n)::BIGINT AS payloads FROM x GROUP BY ALL""")
+def _(spark, sf):
+    """Lines that don't parse and payloads that no connector takes."""
+    return connectors.normalize(mixed_payloads(spark, sf), AS_OF)[1].groupBy("source_id", "kind", "line").agg(F.count("*").alias("payloads"))
