@@ -89,15 +89,23 @@ def delta_label(percent: Column) -> Column:
     return F.when(percent.isNull(), "No previous data").otherwise(F.concat(sign, F.format_string("%.1f", percent), F.lit("% vs previous period")))
 
 
-def website_insights(events: DataFrame, sources: DataFrame, start: date, end: date, sample: int = 2000) -> DataFrame:
-    """label, value: top page, referrer, country and device of the primary web source's newest `sample` events of the range."""
+#: The website's insights as (label, column, what stands for no value).
+TOPS = [("Top page", "path", "/"), ("Top referrer", "referrer", "direct"), ("Top country", "country", "Unknown"), ("Top device", "device_type", "Unknown")]
+
+
+def website_tops(events: DataFrame, sources: DataFrame, start: date, end: date, sample: int = 2000) -> DataFrame:
+    """label, value, n: top page, referrer, country and device of the primary web source's newest `sample` events of the range."""
     primary = web_sources(sources).where("is_primary").select(F.col("id").alias("source_id"))
     rows = events.where(F.col("day").between(F.lit(start), F.lit(end))).join(F.broadcast(primary), "source_id", "left_semi")
     newest = reads.newest(rows, sample)
-    kinds = [("Top page", "path", "/"), ("Top referrer", "referrer", "direct"), ("Top country", "country", "Unknown"), ("Top device", "device_type", "Unknown")]
-    each = F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(none)).alias("value")) for label, c, none in kinds]))
+    each = F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(none)).alias("value")) for label, c, none in TOPS]))
     counts = newest.select("occurred_at", "event_id", each.alias("e")).groupBy("e.label", "e.value").agg(F.count("*").alias("n"), F.max(F.struct("occurred_at", "event_id")).alias("last"))
-    return counts.groupBy("label").agg(F.max_by("value", F.struct("n", "last")).alias("value"))
+    return counts.groupBy("label").agg(F.max_by("value", F.struct("n", "last")).alias("value"), F.max("n").alias("n"))
+
+
+def website_insights(events: DataFrame, sources: DataFrame, start: date, end: date, sample: int = 2000) -> DataFrame:
+    """label, value of website_tops."""
+    return website_tops(events, sources, start, end, sample).drop("n")
 
 
 def provider_mix(metrics: DataFrame, start: date, end: date) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import web
-from ..operators import modules, reads, rollup, runs, store, sync, validate
+from ..operators import modules, reads, records, rollup, runs, store, sync, validate
 from ..sources import deliveries, payloads, tables
 from ..sources.tables import AS_OF, NOW, SOURCES_SQL, WEB_EVENTS
 from .catalogue import ALL_METRICS_SQL, ROLLUP_SQL, all_metrics, metrics, query, text_day
@@ -113,6 +113,67 @@ def _(spark, sf):
     return _records(spark).agg(F.count_if(F.col("id").isNotNull() & (F.col("status") != "disabled")).alias("active"), F.count_if(F.col("status").isin("needs_credentials", "warning", "error")).alias("warnings"))
 
 
+CENTS = "round({} * 100)::BIGINT"
+SETUP_SQL = f"""CASE WHEN st IS NULL THEN CASE WHEN module IN ('website', 'supabase') THEN 'Needs setup' ELSE 'Future' END WHEN st = 'healthy' THEN CASE WHEN module = 'website' AND (SELECT count(*) FROM sources WHERE type_key IN ('website', 'vercel_web_analytics_drain') AND id NOT IN (SELECT id FROM prim)) > 0 THEN 'Primary mode active' ELSE 'Connected' END
+WHEN st = 'needs_credentials' THEN 'Needs credentials' WHEN st = 'error' THEN 'Sync error' WHEN st = 'disabled' THEN 'Disabled' WHEN scaffold THEN 'Scaffold demo' ELSE 'Demo mode' END"""
+
+
+def _records_sql(before: str, start: str, end: str) -> str:
+    """The records of a range, whose period before starts at `before`."""
+    pairs = lambda name, of: f"{name}(k, v) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in of.items())})"
+    tops = " UNION ALL ".join(f"SELECT {i} AS pos, '{label}' AS label, coalesce(arg_max(value || ' (' || n || ')', (n, last)), '{records.NO_TRAFFIC}') AS value FROM (SELECT coalesce(nullif({c}, ''), '{none}') AS value, count(*) AS n, max((occurred_at, event_id)) AS last FROM newest GROUP BY 1)" for i, (label, c, none) in enumerate(modules.TOPS))
+    return f"""WITH {TYPED_SQL}, {CONFIG_SQL}, {CHOSEN_SQL}, {pairs('module_labels', records.MODULE_LABELS)}, newest AS (SELECT * FROM web_events WHERE source_id = (SELECT id FROM prim) AND day BETWEEN '{start}' AND '{end}' ORDER BY occurred_at DESC, event_id DESC LIMIT 2000),
+x AS (SELECT c.*, h.id, coalesce(h.type_key, c.module) AS kind FROM config c LEFT JOIN chosen h ON h.m = c.module), t AS (SELECT x.module, x.slot, x.mode, t.* FROM x JOIN typed t ON t.metric_key = x.metric_key AND t.source_type_key = x.kind AND (x.id IS NULL OR x.id = t.source_id) WHERE day BETWEEN '{before}' AND '{end}'),
+v AS (SELECT module, slot, coalesce(CASE WHEN min(mode) = 'latest' THEN arg_max(metric_value, (day, source_id, dimensions)) FILTER (WHERE day >= '{start}') ELSE sum(metric_value) FILTER (WHERE day >= '{start}') END, 0) AS value, coalesce(sum(metric_value) FILTER (WHERE day < '{start}'), 0) AS previous FROM t GROUP BY ALL),
+filled AS (SELECT x.module, x.slot, x.metric_key, coalesce(v.value, 0)::DOUBLE AS value, coalesce(v.previous, 0)::DOUBLE AS previous FROM x LEFT JOIN v ON v.module = x.module AND v.slot = x.slot),
+rest AS (SELECT module, string_agg(metric_key || '=' || {CENTS.format('value')}, ';' ORDER BY slot) AS secondary FROM filled WHERE slot > 0 GROUP BY 1),
+line AS (SELECT module, string_agg({CENTS.format('v')}, ',' ORDER BY d) AS sparkline FROM (SELECT m.k AS module, d, coalesce(sum(metric_value), 0) AS v FROM module_labels m CROSS JOIN generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY) g(d) LEFT JOIN t ON t.module = m.k AND t.slot = 0 AND t.day = d::DATE GROUP BY ALL) GROUP BY 1),
+leader AS (SELECT json_extract_string(dimensions, '$.provider') AS p, sum(metric_value)::BIGINT AS n FROM t WHERE metric_key = 'signups_by_provider' AND day >= '{start}' GROUP BY 1 ORDER BY n DESC, p LIMIT 1), tops AS ({tops}),
+r AS (SELECT f.module, f.metric_key, f.value, f.previous, CASE WHEN f.previous = 0 THEN CASE WHEN f.value = 0 THEN 0.0 END ELSE (f.value - f.previous) / f.previous * 100 END AS percent, s.id AS source_id, s.status AS st, s.* EXCLUDE (id, status) FROM filled f LEFT JOIN chosen c ON c.m = f.module LEFT JOIN sources s ON s.id = c.id WHERE f.slot = 0),
+named AS (SELECT r.*, {SETUP_SQL} AS setup_label, CASE WHEN type_key IS NULL THEN 'Demo' WHEN type_key = 'vercel_web_analytics_drain' THEN 'Vercel Drain' WHEN st = 'demo' THEN 'Demo' ELSE 'Website Tracker' END AS web_mode FROM r)
+SELECT n.module, source_id, coalesce(display_name, m.v) AS display_name, coalesce(st, CASE WHEN n.module IN ('shopify', 'custom_api', 'custom_csv') THEN 'disabled' ELSE 'demo' END) AS status, coalesce(sync_mode, 'manual') AS sync_mode,
+CASE n.module WHEN 'website' THEN web_mode WHEN 'supabase' THEN CASE WHEN st IS NULL THEN 'Needs setup' ELSE 'Supabase Source' END ELSE CASE WHEN st IS NULL THEN 'Future' WHEN scaffold THEN 'Scaffold' ELSE 'Monitored Source' END END AS mode_label, metric_key AS main_key, value AS main_value, previous AS previous_value,
+CASE WHEN percent IS NULL THEN 'No previous data' ELSE CASE WHEN percent > 0 THEN '+' ELSE '' END || format('{{:.1f}}', round(percent, 1)) || '% vs previous period' END AS delta_label, secondary, sparkline,
+CASE n.module WHEN 'website' THEN (SELECT string_agg(label || ': ' || value, '; ' ORDER BY pos) FROM tops) WHEN 'supabase' THEN 'Provider mix: ' || coalesce((SELECT p || ' leads with ' || n || ' signups in this range.' FROM leader), '{records.NO_PROVIDERS}') || '; Freshness: ' || coalesce('Last successful sync ' || last_success_at, 'Waiting for first sync') ELSE '' END AS insights,
+coalesce(last_success_at, last_webhook_at) AS last_sync_at, next_sync_at, last_error, setup_label, CASE WHEN setup_label IN ('Needs setup', 'Needs credentials') THEN 'warning' WHEN setup_label IN ('Connected', 'Primary mode active') THEN 'ok' WHEN setup_label IN ('Sync error', 'Disabled') THEN 'error' ELSE 'demo' END AS setup_severity,
+source_id IS NOT NULL AND st <> 'disabled' AS can_run FROM named n JOIN module_labels m ON m.k = n.module JOIN rest USING (module) JOIN line USING (module)"""
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    """The nested parts of the records as texts, values in hundredths."""
+    cents = lambda v: F.round(v * 100).cast("long").cast("string")
+    joined = lambda c, text, by: F.array_join(F.transform(c, text), by)
+    return rows.select(
+        "module", "source_id", "display_name", "status", "sync_mode", "mode_label", F.col("main.key").alias("main_key"), F.col("main.value").alias("main_value"), F.col("main.previous").alias("previous_value"), "main.delta_label",
+        joined("secondary", lambda x: F.concat(x["key"], F.lit("="), cents(x["value"])), ";").alias("secondary"), joined("sparkline", lambda x: cents(x["value"]), ",").alias("sparkline"),
+        joined("insights", lambda x: F.concat(x["label"], F.lit(": "), x["value"]), "; ").alias("insights"), "last_sync_at", "next_sync_at", "last_error", F.col("setup.label").alias("setup_label"), F.col("setup.severity").alias("setup_severity"), "actions.can_run",
+    )
+
+
+def _module_records(spark, sf, key: str, sources: DataFrame, end: str = AS_OF) -> DataFrame:
+    """From the typed table as it is stored by day, and the event log."""
+    path = f"{shared_folder(spark)}/metrics"
+    store.overwrite_days(typed(spark, sf), path)
+    return _flat(records.module_records(spark.read.parquet(path), tables.web_events(spark, sf), sources, *reads.date_range(key, end)))
+
+
+@query("module_records_7d", _records_sql("2024-01-17", "2024-01-24", AS_OF))
+def _(spark, sf):
+    return _module_records(spark, sf, "7d", tables.sources(spark))
+
+
+@query("module_records_30d", _records_sql("1995-05-02", "1995-06-01", "1995-06-30"))
+def _(spark, sf):
+    """A month that has sign-ups."""
+    return _module_records(spark, sf, "30d", tables.sources(spark), "1995-06-30")
+
+
+@query("module_records_no_source_30d", _records_sql("2023-12-02", "2024-01-01", AS_OF).replace("prim AS (SELECT * FROM sources WHERE", "kept AS (SELECT * FROM sources WHERE false), prim AS (SELECT * FROM kept WHERE").replace("SELECT type_key, id, type_key FROM sources WHERE", "SELECT type_key, id, type_key FROM kept WHERE"))
+def _(spark, sf):
+    """After all sources are deleted: the rows of each kind that are left, texts for what is missing."""
+    return _module_records(spark, sf, "30d", tables.sources(spark).where("false"))
+
+
 FRESH, STALE = "Fresh within the current monitoring window", "No successful source sync yet"
 
 
