@@ -115,16 +115,18 @@ def provider_mix(metrics: DataFrame, start: date, end: date) -> DataFrame:
     return rows.groupBy(provider.alias("provider")).agg(F.sum("metric_value").alias("signups")).orderBy(F.desc("signups"), "provider").limit(1)
 
 
-def suppress(events: DataFrame, sources: DataFrame) -> DataFrame:
-    """events (source_id, event_name, properties) with suppressed, and the marker in the properties of those.
-
-    A tracker's page view counts nowhere when another source, a drain, is the primary one.
-    """
+def mark_suppressed(events: DataFrame, sources: DataFrame) -> DataFrame:
+    """events (source_id, event_name, ...) with suppressed by rule: a tracker's page view counts nowhere when another source, a drain, is the primary one."""
     kinds = sources.select(F.col("id").alias("s_id"), F.col("type_key").alias("s_type"))
     primary = web_sources(sources).where("is_primary").select(F.col("id").alias("p_id"), F.col("type_key").alias("p_type"))
     rows = events.drop("suppressed").join(F.broadcast(kinds), F.col("source_id") == F.col("s_id"), "left").join(F.broadcast(primary), F.lit(True), "left")  # one row at most
     hit = (F.col("s_type") == "website") & (F.col("event_name") == "page_view") & (F.col("p_id") != F.col("s_id")) & (F.col("p_type") == WEB_KINDS[0])
+    return rows.withColumn("suppressed", F.coalesce(hit, F.lit(False))).drop("s_id", "s_type", "p_id", "p_type")
+
+
+def suppress(events: DataFrame, sources: DataFrame) -> DataFrame:
+    """events (source_id, event_name, properties) with suppressed, and the marker in the properties of those."""
     mark = F.lit('"ingestion":{"suppressed_rollup":true,"reason":"drain_primary"}}')
     body = F.expr("left(properties, length(properties) - 1)")
     marked = F.concat(body, F.when(F.col("properties") == "{}", "").otherwise(","), mark)
-    return rows.withColumn("suppressed", F.coalesce(hit, F.lit(False))).withColumn("properties", F.when(F.col("suppressed"), marked).otherwise(F.col("properties"))).drop("s_id", "s_type", "p_id", "p_type")
+    return mark_suppressed(events, sources).withColumn("properties", F.when(F.col("suppressed"), marked).otherwise(F.col("properties")))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .warehouse import MONTH
+
 RANGES = {"today": 1, "7d": 7, "30d": 30}
 
 
@@ -22,8 +24,14 @@ def previous_range(start: date, end: date) -> tuple[date, date]:
     return start - timedelta(days=(end - start).days + 1), start - timedelta(days=1)
 
 
-def list_metrics(metrics: DataFrame, keys: list[str] | None = None, source_id: str | None = None, start: date | None = None, end: date | None = None) -> DataFrame:
-    """Filtered metric rows; no keys means all. Filters reach a Parquet scan."""
+def list_metrics(metrics: DataFrame, keys: list[str] | None = None, source_id: str | None = None, start: date | None = None, end: date | None = None, source_type: str | None = None) -> DataFrame:
+    """Filtered metric rows; no keys means all. Filters reach a Parquet scan, and of a table by month a range takes its months only."""
+    if MONTH in metrics.columns:
+        low, high = (d and d.isoformat()[:7] for d in (start, end))
+        metrics = metrics.where(F.col(MONTH) >= low) if low else metrics
+        metrics = metrics.where(F.col(MONTH) <= high) if high else metrics
+    if source_type is not None:
+        metrics = metrics.where(F.col("source_type_key") == source_type)
     if keys:
         metrics = metrics.where(F.col("metric_key").isin(keys))
     if source_id is not None:
@@ -35,6 +43,11 @@ def list_metrics(metrics: DataFrame, keys: list[str] | None = None, source_id: s
     return metrics
 
 
+def in_order(metrics: DataFrame) -> DataFrame:
+    """Metric rows by day, then metric; the rest of the key breaks ties."""
+    return metrics.orderBy("day", "metric_key", "source_id", "dimensions")
+
+
 def with_dimensions(metrics: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Rows that have every wanted dimension with that value."""
     for k, v in wanted.items():

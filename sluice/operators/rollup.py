@@ -54,20 +54,31 @@ def first_seen(events: DataFrame, identity: str) -> DataFrame:
     return first.groupBy("day", "source_id").agg(F.count_if(~F.col("suppressed")).alias("counted"), F.count_if("suppressed").alias("lost"))
 
 
-def uniques(events: DataFrame) -> DataFrame:
-    parts = []
-    for key, identity in (("unique_visitors", "anonymous_id"), ("sessions", "session_id")):
-        seen = first_seen(events, identity).where("counted > 0")
-        parts.append(seen.select("day", "source_id", F.lit(key).alias("metric_key"), F.lit(ROLLUP).alias("dimensions"), F.col("counted").cast("double").alias("metric_value")))
-    return parts[0].unionByName(parts[1])
-
-
 def hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("dimensions_hash", F.sha2("dimensions", 256))
 
 
 def daily_rollup(events: DataFrame) -> DataFrame:
-    return hashed(counters(events).unionByName(uniques(events)))
+    """Counters, visitors and sessions from one pass over the events.
+
+    Grouping sets count events by kind, path and referrer and find the first event of each visitor and of
+    each session in the same aggregate, which combines before its shuffle. What leaves it is a
+    row for each such combination; the second aggregate makes the metrics of these.
+    """
+    kind = F.when(F.col("event_name") == "page_view", "page_views").otherwise("custom_events")
+    referrer = F.coalesce(F.nullif(F.col("referrer"), F.lit("")), F.lit("direct"))
+    rows = events.select("day", "source_id", kind.alias("kind"), "path", referrer.alias("referrer"), "anonymous_id", "session_id", "event_id", "suppressed")
+    place, counted = ["day", "source_id"], ["kind", "path", "referrer"]
+    sets = [[*place, *counted], [*place, "anonymous_id"], [*place, "session_id"]]
+    found = rows.groupingSets(sets, *place, *counted, "anonymous_id", "session_id").agg(
+        F.grouping("kind").alias("of_identity"), F.grouping("anonymous_id").alias("no_visitor"), F.count_if(~F.col("suppressed")).alias("n"), F.min_by("suppressed", "event_id").alias("lost")
+    )
+    identity = F.array(_metric(F.when(F.col("no_visitor") == 0, "unique_visitors").otherwise("sessions"), F.lit(ROLLUP)))
+    counters_ = F.array(_metric(F.col("kind"), F.lit(ROLLUP)), _metric("events_by_path", dims(path=F.col("path"))), _metric("events_by_referrer", dims(referrer=F.col("referrer"))))
+    is_identity = F.col("of_identity") == 1
+    value = F.when(is_identity, F.when(~F.col("lost"), 1)).otherwise(F.when(F.col("n") > 0, F.col("n")))
+    each = found.withColumn("v", value).where("v IS NOT NULL").select(*place, "v", F.explode(F.when(is_identity, identity).otherwise(counters_)).alias("m")).select(*place, "v", "m.*")
+    return hashed(each.groupBy(*place, "metric_key", "dimensions").agg(F.sum("v").cast("double").alias("metric_value")))
 
 
 def user_metrics(users: DataFrame) -> DataFrame:

@@ -69,6 +69,31 @@ def resolve_source(events: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.withColumn("resolved_id", F.coalesce("source_id", "k_id")).withColumn("resolved_type", F.coalesce("i_type", "k_type")).drop("i_id", "i_type", "k_key", "k_id", "k_type")
 
 
+#: What becomes of an event, in the order of the checks.
+OUTCOMES = ("invalid", "wrong_kind", "origin", "suppressed", "accepted")
+
+
+def admitted(events: DataFrame, sources: DataFrame) -> DataFrame:
+    """Incoming events with all that is checked of them: problems, resolved_id, resolved_type and outcome (one of OUTCOMES).
+
+    events: the fields of `problems` and `more_problems`, and origin. The failed checks of required and of optional
+    fields come together, each once. A valid event's source is found by id, else by key; one without a source
+    has neither kind nor origins to fail. A page view that the primary drain counts is stored, but adds nothing.
+    Columns that resolution adds replace any of the same name.
+    """
+    from .modules import mark_suppressed
+
+    found = F.array_distinct(F.filter(F.split(F.concat_ws(",", problems(), more_problems()), ","), lambda x: x != ""))
+    rows = events.drop("resolved_id", "resolved_type", "outcome", "suppressed").withColumn("problems", F.array_join(found, ","))
+    rows = resolve_source(rows, sources)
+    rows = rows.withColumnRenamed("source_id", "given_id").withColumn("source_id", F.col("resolved_id"))
+    rows = mark_suppressed(rows, sources).drop("source_id").withColumnRenamed("given_id", "source_id")
+    allowed = sources.select(F.col("id").alias("o_id"), F.col("origins").alias("o_list"))
+    rows = rows.join(F.broadcast(allowed), F.col("resolved_id") == F.col("o_id"), "left")
+    outcome = F.when(F.col("problems") != "", "invalid").when(~accepts_events(F.col("resolved_type")), "wrong_kind").when(~origin_allowed(F.col("origin"), F.col("o_list")), "origin").when(F.col("suppressed"), "suppressed").otherwise("accepted")
+    return rows.withColumn("outcome", outcome).drop("o_id", "o_list", "suppressed")
+
+
 def identity_seen(probes: DataFrame, log: DataFrame) -> DataFrame:
     """probes (probe_id, source_id, day, anonymous_id, session_id) with whether the log has either identity that day.
 

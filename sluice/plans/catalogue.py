@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import web
-from ..operators import reads, rollup, store, sync, validate
+from ..operators import modules, reads, rollup, store, sync, validate, warehouse
 from ..sources import payloads, tables
 from ..sources.tables import AS_OF, LOCKS_SQL, NOW, REQUESTS_SQL, RUNS_SQL, SOURCES_SQL, USERS, WEB_EVENTS
 from . import streams
@@ -59,13 +59,19 @@ ALL_METRICS_SQL = f"{ROLLUP_SQL}, {USER_METRICS_SQL}, all_metrics AS (SELECT day
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.daily_rollup(tables.web_events(spark, sf_dir))
+    return rollup.daily_rollup(modules.mark_suppressed(tables.web_events(spark, sf_dir), tables.sources(spark)))
 
 
 def all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics(spark, sf_dir).unionByName(rollup.user_metrics(tables.users(spark, sf_dir)))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed metrics of all sources as they are stored; rolled up only if the inputs have changed since."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("events", "customer", "orders")]
+    return warehouse.stored(spark, f"{streams.shared_base(spark)}/typed-metrics", inputs, lambda: modules.typed(all_metrics(spark, sf_dir), tables.sources(spark)))
+
+
 # Roll-ups
 
 
@@ -106,7 +112,7 @@ def _series(days: str) -> None:
     @query(f"timeseries_page_views_{days}", f"""WITH {ROLLUP_SQL} SELECT d::DATE::VARCHAR AS day, coalesce(v, 0)::DOUBLE AS metric_value FROM generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY) g(d)
 LEFT JOIN (SELECT day, sum(metric_value) AS v FROM metrics_daily WHERE metric_key = 'page_views' GROUP BY 1) ON day = d::DATE""")
     def _(spark, sf):
-        return text_day(reads.dense_series(metrics(spark, sf), "page_views", start, end))
+        return text_day(reads.dense_series(stored(spark, sf), "page_views", start, end))
 
 
 DELTA_KEYS = ["page_views", "unique_visitors", "custom_events", "sessions", "signups"]
@@ -126,7 +132,7 @@ def _delta(days: str) -> None:
 
     @query(f"period_delta_{days}", f"WITH {ALL_METRICS_SQL} SELECT *, {DELTA_CASE} FROM ({_delta_sql(start, end)})")
     def _(spark, sf):
-        return reads.period_delta(all_metrics(spark, sf), DELTA_KEYS, start, end)
+        return reads.period_delta(stored(spark, sf), DELTA_KEYS, start, end)
 
 
 for _days in ("30d", "7d"):
@@ -141,7 +147,7 @@ MODES = [("page_views", "sum"), ("unique_visitors", "sum"), ("sessions", "sum"),
 SELECT m.metric_key, m.mode, coalesce(CASE WHEN mode = 'latest' THEN l ELSE s END, 0)::DOUBLE AS metric_value FROM modes m
 LEFT JOIN (SELECT metric_key, sum(metric_value) AS s, arg_max(metric_value, (day, source_id, dimensions)) AS l FROM all_metrics GROUP BY 1) a ON a.metric_key = m.metric_key""")
 def _(spark, sf):
-    return reads.by_mode(all_metrics(spark, sf), tables.rows(spark, MODES, "metric_key string, mode string"))
+    return reads.by_mode(stored(spark, sf), tables.rows(spark, MODES, "metric_key string, mode string"))
 
 
 @query("summary_kpis_30d", f"""WITH {ALL_METRICS_SQL}, {SOURCES_SQL}, {RUNS_SQL}, r AS (SELECT * FROM all_metrics WHERE day BETWEEN '2024-01-01' AND '2024-01-30')
@@ -153,7 +159,7 @@ UNION ALL SELECT 'sync_errors', count(*) FILTER (WHERE status = 'error')::DOUBLE
 def _(spark, sf):
     """KPIs of a range; users_total over no rows is null."""
     start, end = reads.date_range("30d", AS_OF)
-    m = reads.list_metrics(all_metrics(spark, sf), None, None, start, end)
+    m = reads.list_metrics(stored(spark, sf), None, None, start, end)
     keys = ["page_views", "unique_visitors", "custom_events", "signups"]
     sums = [F.coalesce(F.sum(F.when(F.col("metric_key") == k, F.col("metric_value"))), F.lit(0.0)).alias(k) for k in keys]
     one = m.agg(*sums, F.max(F.when(F.col("metric_key") == "users_total", F.col("metric_value"))).alias("users_total"))
@@ -168,7 +174,7 @@ def _(spark, sf):
 
 @query("source_comparison", f"""WITH {ALL_METRICS_SQL} SELECT coalesce(source_id, 'none') AS source, {', '.join(f"coalesce(sum(metric_value) FILTER (WHERE metric_key = '{k}'), 0)::DOUBLE AS {k}" for k in ('page_views', 'signups', 'custom_events'))} FROM all_metrics GROUP BY 1""")
 def _(spark, sf):
-    return reads.source_comparison(all_metrics(spark, sf))
+    return reads.source_comparison(stored(spark, sf))
 
 
 def _top(name: str, column: str, fallback: str) -> None:
@@ -209,13 +215,13 @@ def _(spark, sf):
 @query("list_metrics_filtered", f"WITH {ROLLUP_SQL} SELECT day::VARCHAR AS day, source_id, metric_key, dimensions, metric_value FROM metrics_daily WHERE metric_key IN ('page_views', 'sessions') AND source_id = 'src_drain' AND day BETWEEN '2024-01-05' AND '2024-01-20'")
 def _(spark, sf):
     start, end = reads.date_range("7d", "2024-01-20")
-    rows = reads.list_metrics(metrics(spark, sf), ["page_views", "sessions"], "src_drain", start - timedelta(days=9), end)
-    return text_day(rows.drop("dimensions_hash"))
+    rows = reads.list_metrics(stored(spark, sf), ["page_views", "sessions"], "src_drain", start - timedelta(days=9), end)
+    return text_day(rows.select("day", "source_id", "metric_key", "dimensions", "metric_value"))
 
 
 @query("metrics_dimension_filter", f"""WITH {ROLLUP_SQL} SELECT coalesce(sum(metric_value), 0)::DOUBLE AS metric_value FROM metrics_daily WHERE metric_key = 'events_by_path' AND dimensions = '{{"path":"/pricing"}}'""")
 def _(spark, sf):
-    return reads.total(reads.with_dimensions(reads.list_metrics(metrics(spark, sf), ["events_by_path"]), {"path": "/pricing"}))
+    return reads.total(reads.with_dimensions(reads.list_metrics(stored(spark, sf), ["events_by_path"]), {"path": "/pricing"}))
 
 
 SPARK_KEYS = ["page_views", "unique_visitors"]
@@ -223,7 +229,7 @@ SERIES_SQL = f"series AS (SELECT metric_key, day, sum(metric_value) AS v FROM me
 
 
 def _named_series(spark, sf) -> DataFrame:
-    return reads.list_metrics(metrics(spark, sf), SPARK_KEYS).groupBy("metric_key", "day").agg(F.sum("metric_value").alias("metric_value"))
+    return reads.list_metrics(stored(spark, sf), SPARK_KEYS).groupBy("metric_key", "day").agg(F.sum("metric_value").alias("metric_value"))
 
 
 @query("sparkline_points", f"""WITH {ROLLUP_SQL}, {SERIES_SQL}, s AS (SELECT *, least(min(v) OVER w, 0) AS lo, greatest(max(v) OVER w, 1) AS hi, row_number() OVER (PARTITION BY metric_key ORDER BY day) - 1 AS i, count(*) OVER w - 1 AS n FROM series WINDOW w AS (PARTITION BY metric_key))
@@ -572,7 +578,7 @@ def _(spark, sf):
 
 def _by_source(spark, sf, key: str) -> DataFrame:
     start, end = reads.date_range(key, AS_OF)
-    rows = reads.list_metrics(all_metrics(spark, sf), None, None, reads.previous_range(start, end)[0], end)
+    rows = reads.list_metrics(stored(spark, sf), None, None, reads.previous_range(start, end)[0], end)
     now = F.col("day") >= F.lit(start)
     return rows.groupBy("source_id", "metric_key").agg(F.sum(F.when(now, F.col("metric_value"))).alias("current_value"), F.sum(F.when(~now, F.col("metric_value"))).alias("previous_value"))
 
@@ -597,7 +603,7 @@ def _(spark, sf):
     live = has & (s != "disabled")
     one = mods.agg(F.count_if(has).alias("active_modules_and_disabled"), F.count_if(live).alias("connected"), F.count_if((s == "error") | F.col("last_error").isNotNull()).alias("errors"), F.max(F.when(live, F.col("last_sync_at"))).alias("last_sync_at"), F.when(F.max(s.isin("demo", "needs_credentials")), "Setup and live").otherwise("Live").alias("mode"))
     start, end = reads.date_range("30d", AS_OF)
-    tracked = reads.total(reads.list_metrics(all_metrics(spark, sf), ["page_views", "custom_events"], None, start, end)).withColumnRenamed("metric_value", "tracked_events")
+    tracked = reads.total(reads.list_metrics(stored(spark, sf), ["page_views", "custom_events"], None, start, end)).withColumnRenamed("metric_value", "tracked_events")
     return one.crossJoin(F.broadcast(tracked))
 
 
@@ -679,4 +685,4 @@ def _(spark, sf):
     return text_day(streams.rolled_up(spark, tables.web_events(spark, sf)))
 
 
-from . import ingestion, platform  # noqa: E402, F401  register their queries
+from . import ingestion, platform, reading  # noqa: E402, F401  register their queries

@@ -11,7 +11,7 @@ from ..functions import web
 from ..operators import modules, reads, records, rollup, runs, store, sync, validate
 from ..sources import deliveries, payloads, tables
 from ..sources.tables import AS_OF, NOW, SOURCES_SQL, WEB_EVENTS
-from .catalogue import ALL_METRICS_SQL, ROLLUP_SQL, all_metrics, metrics, query, text_day
+from .catalogue import ALL_METRICS_SQL, ROLLUP_SQL, all_metrics, metrics, query, stored, text_day
 from .streams import shared_folder
 
 TYPED_SQL = f"""{ALL_METRICS_SQL}, {SOURCES_SQL}, typed AS (SELECT a.*, s.type_key AS source_type_key, CASE WHEN metric_key = 'engagement_rate' THEN 'percent' WHEN metric_key IN ('net_payment', 'gross_sales', 'refunds') THEN 'usd' ELSE 'count' END AS unit FROM all_metrics a LEFT JOIN sources s ON s.id = a.source_id)"""
@@ -47,7 +47,7 @@ v AS (SELECT x.module, x.metric_key, sum(metric_value) FILTER (WHERE day >= '202
 FROM x JOIN typed t ON t.metric_key = x.metric_key AND t.source_type_key = x.kind AND (x.id IS NULL OR x.id = t.source_id) WHERE day BETWEEN '2024-01-17' AND '2024-01-30' GROUP BY ALL)
 SELECT position, x.module, slot, x.id AS source_id, x.metric_key, unit, coalesce(CASE mode WHEN 'latest' THEN l ELSE s END, 0)::DOUBLE AS value, CASE WHEN slot = 0 THEN coalesce(p, 0)::DOUBLE END AS previous_value FROM x LEFT JOIN v ON v.module = x.module AND v.metric_key = x.metric_key""")
 def _(spark, sf):
-    return modules.module_values(typed(spark, sf), tables.sources(spark), *reads.date_range("7d", AS_OF))
+    return modules.module_values(stored(spark, sf), tables.sources(spark), *reads.date_range("7d", AS_OF))
 
 
 @query("platform_module_metrics_no_source_7d", f"""WITH {TYPED_SQL}, {CONFIG_SQL}, x AS (SELECT *, module AS kind FROM config),
@@ -56,14 +56,14 @@ FROM x JOIN typed t ON t.metric_key = x.metric_key AND t.source_type_key = x.kin
 SELECT position, x.module, slot, NULL::VARCHAR AS source_id, x.metric_key, unit, coalesce(CASE mode WHEN 'latest' THEN l ELSE s END, 0)::DOUBLE AS value, CASE WHEN slot = 0 THEN coalesce(p, 0)::DOUBLE END AS previous_value FROM x LEFT JOIN v ON v.module = x.module AND v.metric_key = x.metric_key""")
 def _(spark, sf):
     """After all sources are deleted, modules sum the rows that their kinds have left."""
-    return modules.module_values(typed(spark, sf), tables.sources(spark).where("false"), *reads.date_range("7d", AS_OF))
+    return modules.module_values(stored(spark, sf), tables.sources(spark).where("false"), *reads.date_range("7d", AS_OF))
 
 
 @query("platform_module_series_7d", f"""WITH {TYPED_SQL}, {CHOSEN_SQL}, main(position, module, metric_key) AS (VALUES {', '.join(f"({k}, '{m}', '{modules.METRICS[m][0][0]}')" for k, m in enumerate(modules.SERIES))})
 SELECT position, module, d::DATE::VARCHAR AS day, coalesce(sum(metric_value), 0)::DOUBLE AS value FROM (SELECT main.*, h.id, coalesce(h.type_key, main.module) AS kind FROM main LEFT JOIN chosen h ON h.m = main.module) x CROSS JOIN generate_series(DATE '2024-01-24', DATE '2024-01-30', INTERVAL 1 DAY) g(d)
 LEFT JOIN typed t ON t.metric_key = x.metric_key AND t.source_type_key = x.kind AND (x.id IS NULL OR x.id = t.source_id) AND t.day = d::DATE GROUP BY ALL""")
 def _(spark, sf):
-    return text_day(modules.module_series(typed(spark, sf), tables.sources(spark), *reads.date_range("7d", AS_OF)))
+    return text_day(modules.module_series(stored(spark, sf), tables.sources(spark), *reads.date_range("7d", AS_OF)))
 
 
 def _top_sql(label: str, column: str, none: str) -> str:
@@ -79,13 +79,13 @@ def _(spark, sf):
 @query("provider_leader_30d", f"""WITH {ALL_METRICS_SQL} SELECT json_extract_string(dimensions, '$.provider') AS provider, sum(metric_value)::DOUBLE AS signups FROM all_metrics WHERE metric_key = 'signups_by_provider' AND day BETWEEN '1995-06-01' AND '1995-06-30' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""")
 def _(spark, sf):
     """Of a month that has sign-ups."""
-    return modules.provider_mix(all_metrics(spark, sf), *reads.date_range("30d", "1995-06-30"))
+    return modules.provider_mix(stored(spark, sf), *reads.date_range("30d", "1995-06-30"))
 
 
 @query("source_comparison_30d", f"""WITH {TYPED_SQL} SELECT coalesce(source_id, source_type_key) AS source, min(source_type_key) AS source_type_key, {', '.join(f"coalesce(sum(metric_value) FILTER (WHERE metric_key = '{k}'), 0)::DOUBLE AS {k}" for k in ('page_views', 'signups', 'custom_events'))}
 FROM typed WHERE day BETWEEN '2024-01-01' AND '2024-01-30' GROUP BY 1""")
 def _(spark, sf):
-    rows = reads.list_metrics(typed(spark, sf), None, None, *reads.date_range("30d", AS_OF))
+    rows = reads.list_metrics(stored(spark, sf), None, None, *reads.date_range("30d", AS_OF))
     sums = [F.coalesce(F.sum(F.when(F.col("metric_key") == k, F.col("metric_value"))), F.lit(0.0)).alias(k) for k in ("page_views", "signups", "custom_events")]
     return rows.groupBy(F.coalesce("source_id", "source_type_key").alias("source")).agg(F.min("source_type_key").alias("source_type_key"), *sums)
 
@@ -151,10 +151,8 @@ def _flat(rows: DataFrame) -> DataFrame:
 
 
 def _module_records(spark, sf, key: str, sources: DataFrame, end: str = AS_OF) -> DataFrame:
-    """From the typed table as it is stored by day, and the event log."""
-    path = f"{shared_folder(spark)}/metrics"
-    store.overwrite_days(typed(spark, sf), path)
-    return _flat(records.module_records(spark.read.parquet(path), tables.web_events(spark, sf), sources, *reads.date_range(key, end)))
+    """From the typed table as it is stored, and the event log."""
+    return _flat(records.module_records(stored(spark, sf), tables.web_events(spark, sf), sources, *reads.date_range(key, end)))
 
 
 @query("module_records_7d", _records_sql("2024-01-17", "2024-01-24", AS_OF))
@@ -187,7 +185,7 @@ def _(spark, sf):
         F.count_if(live).alias("connected"), F.count_if((F.col("status") == "error") | F.col("last_error").isNotNull()).alias("errors"), last.alias("last_sync_at"), F.when(last.isNull(), STALE).otherwise(FRESH).alias("freshness"),
         F.when(F.max(F.col("status").isin("demo", "needs_credentials")), "Setup + live monitoring").otherwise("Live monitoring").alias("mode"),
     )
-    tracked = reads.total(reads.list_metrics(all_metrics(spark, sf), ["page_views", "custom_events"], None, *reads.date_range("30d", AS_OF))).withColumnRenamed("metric_value", "tracked_events")
+    tracked = reads.total(reads.list_metrics(stored(spark, sf), ["page_views", "custom_events"], None, *reads.date_range("30d", AS_OF))).withColumnRenamed("metric_value", "tracked_events")
     return one.crossJoin(F.broadcast(tracked))
 
 

@@ -13,14 +13,19 @@ from ..streaming import rollup
 _OWN: dict[str, str] = {}
 
 
-def shared_folder(spark) -> str:
-    """A fresh path in the cluster's shared folder; in local mode, where none may be set, in a folder of this process."""
+def shared_base(spark) -> str:
+    """The cluster's shared folder; in local mode, where none may be set, a folder of this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-sluice-"))
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_folder(spark) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def rolled_up(spark, events: DataFrame, batches: int = 4) -> DataFrame:
