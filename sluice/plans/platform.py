@@ -408,3 +408,6 @@ def _(spark, sf):
 @query("scaffold_payloads", f"WITH {SOURCES_SQL} SELECT id AS source_id, '{{\"scaffold\":true,\"source_type\":\"' || type_key || '\"}}' AS payload FROM sources WHERE scaffold")
 def _(spark, sf):
     return runs.scaffold_payloads(tables.sources(spark))
+
+
+from . import reading  # noqa: E402, F401  registers its queries, which use the SQL above
