@@ -7,6 +7,8 @@ Everything is decided within a row, by Spark's own JSON and variant functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +29,31 @@ def _ddl() -> str:
 
 
 def _parses(text: Column) -> Column:
-    """Whether a text is one JSON value and nothing after it, which the parser alone would let pass."""
-    inside = F.concat(F.lit("["), text, F.lit("]"))
-    return F.coalesce(F.try_parse_json(inside).isNotNull() & (F.size(F.from_json(inside, "array<variant>")) == 1), F.lit(False))
+    """Whether a text is one JSON value and nothing after it, which the parser alone would let pass. It is parsed once."""
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.coalesce(F.size(F.try_variant_get(inside, "$", "array<variant>")) == 1, F.lit(False))
 
 
 def items(body: Column) -> Column:
-    """The array of a body's items, as (text, ok); an empty body has none."""
-    trimmed = F.trim(F.regexp_replace(body, r"^\s+|\s+$", ""))
-    one = lambda text: F.struct(text.alias("text"), (_parses(text) & F.ltrim(text).startswith("{")).alias("ok"))
-    parts = F.transform(F.from_json(trimmed, "array<variant>"), lambda v: one(F.to_json(v)))
-    lines = F.transform(F.filter(F.transform(F.split(trimmed, "\n"), lambda x: F.trim(x)), lambda x: x != ""), one)
-    whole = F.array(one(trimmed))
-    return F.when(trimmed.startswith("["), F.when(_parses(trimmed), parts).otherwise(whole)).when(_parses(trimmed), whole).otherwise(lines)
+    """The array of a body's items, as (text, ok); an empty body has none.
+
+    What an array that parses holds is JSON as Spark writes it, and is not parsed again.
+    """
+    item = lambda text, ok: F.struct(text.alias("text"), (ok & F.ltrim(text).startswith("{")).alias("ok"))
+    one = lambda text: item(text, _parses(text))
+
+    def found(trimmed: Column) -> Column:
+        parts = F.transform(F.transform(F.from_json(trimmed, "array<variant>"), lambda v: F.to_json(v)), lambda t: item(t, F.lit(True)))
+        lines = F.transform(F.filter(F.transform(F.split(trimmed, "\n"), lambda x: F.trim(x)), lambda x: x != ""), one)
+        alone = lambda ok: F.array(item(trimmed, ok))
+        return F.when(trimmed.startswith("["), F.when(_parses(trimmed), parts).otherwise(alone(F.lit(False)))).when(_parses(trimmed), alone(F.lit(True))).otherwise(lines)
+
+    return _let(F.trim(F.regexp_replace(body, r"^\s+|\s+$", "")), found)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def parse(bodies: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:

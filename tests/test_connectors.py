@@ -56,3 +56,11 @@ def test_mixed_payloads_are_scanned_once(spark, tmp_path):
     spark.createDataFrame([(1, "s", "supabase", '[{"id":"a"}]')], SCHEMA).write.parquet(f"{tmp_path}/raw")
     plan = connectors.normalize(spark.read.parquet(f"{tmp_path}/raw"), DAY)[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Python" not in plan
+
+
+def test_records_are_made_as_columns_and_not_inside_the_array(spark, tmp_path):
+    spark.createDataFrame([(1, "s", "supabase", '[{"id":"a"}]')], SCHEMA).write.parquet(f"{tmp_path}/raw")
+    for part in connectors.normalize(spark.read.parquet(f"{tmp_path}/raw"), DAY):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        cut = plan[plan.index("Generate posexplode") : plan.index("Relation [")]
+        assert "startswith" in cut.lower() and "sha2(" not in cut and "signups" not in cut
