@@ -79,13 +79,18 @@ def properties(event: Column) -> Column:
     spread = F.coalesce(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value"))), empty)
     raw = F.array(F.struct(F.lit("raw").alias("key"), F.concat(F.lit('"'), _escaped(data), F.lit('"')).alias("value")))
     texts = F.when(data.isNull(), empty).when(_parses(data), spread).otherwise(raw)
-    all_ = F.concat(F.when(F.exists(texts, lambda e: e["key"] == VENDOR_KEY), empty).otherwise(F.array(F.struct(F.lit(VENDOR_KEY).alias("key"), vendor.alias("value")))), texts)
+    own = F.array(F.struct(F.lit(VENDOR_KEY).alias("key"), vendor.alias("value")))
+    all_ = _let(texts, lambda t: F.concat(F.when(F.exists(t, lambda e: e["key"] == VENDOR_KEY), empty).otherwise(own), t))
     pairs = F.transform(F.array_sort(all_), lambda e: F.concat(F.lit('"'), _escaped(e["key"]), F.lit('":'), e["value"]))
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
 def _escaped(text: Column) -> Column:
-    """The inside of a JSON string."""
+    """The inside of a JSON string; text of plain ASCII signs but quotes and backslashes is as it is."""
+    return F.when(text.rlike(r"^[ !#-\[\]-~]*\z"), text).otherwise(_written(text))
+
+
+def _written(text: Column) -> Column:
     return F.regexp_replace(F.to_json(F.struct(text.alias("x"))), r'^\{"x":"(?s)(.*)"\}$', "$1")
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 import copy
 import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -66,6 +67,17 @@ def log_rows(events: DataFrame, sources: DataFrame) -> DataFrame:
 KEYS = "event_key string"
 
 
+def _order() -> Column:
+    """delivery_id, nulls first, then position, as one number."""
+    delivery = F.coalesce(F.col("delivery_id").cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1)).cast("decimal(20,0)"))
+    return delivery * F.lit(Decimal(2**31)).cast("decimal(10,0)") + F.col("position").cast("decimal(10,0)")
+
+
+def _held(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def merge(batch: DataFrame, number: int, state_dir: str, sources: Callable[[SparkSession], DataFrame], fan: int = state.FAN) -> None:
     """Take a batch of deliveries into sinks and state, unless it is in them."""
     spark = batch.sparkSession
@@ -75,16 +87,15 @@ def merge(batch: DataFrame, number: int, state_dir: str, sources: Callable[[Spar
     held, path = copy.deepcopy(before), f"{state_dir}/parts/{number}-{uuid.uuid4().hex[:8]}"
     events, rejects = keyed(batch)
     # Parsed once: what follows reads what is written here, so a lost executor costs no second parse.
-    log_rows(events, sources(spark)).withColumn("slot", _slot("day")).write.partitionBy("slot").parquet(f"{path}/parsed")
-    slots = {n.removeprefix("slot=") for n in state.names(spark, f"{path}/parsed") if n.startswith("slot=")}
+    parsed = _held(log_rows(events, sources(spark)).withColumn("slot", _slot("day")), f"{path}/parsed")
+    slots = {r["slot"] for r in parsed.select("slot").distinct().collect()}  # a row for each day
     new = f"{state_dir}/events/batch={number}"
     if slots:
-        parsed = spark.read.parquet(f"{path}/parsed").withColumn("slot", F.col("slot").cast("string"))
         once(parsed, "event_key", ["delivery_id", "position"], state.read(spark, held, "keys", KEYS, slots)).write.mode("overwrite").parquet(new)
         landed = spark.read.parquet(new)
         state.add(landed.select("event_key", "slot"), held, "keys", KEYS, path, fan)
         seen = state.read(spark, held, "seen", SEEN, slots).drop("slot")
-        delta, first = batch_delta(landed.withColumn("event_id", F.struct("delivery_id", "position")), seen)
+        delta, first = batch_delta(landed.withColumn("event_id", _order()), seen, lambda first: _held(first, f"{path}/first"))
         state.add(first.withColumn("slot", _slot("day")), held, "seen", SEEN, path, fan)
         old = state.read(spark, held, "metrics", METRICS, slots).drop("slot")
         state.replace(increment(old, delta).withColumn("slot", _slot("day")), held, "metrics", path)
@@ -93,7 +104,7 @@ def merge(batch: DataFrame, number: int, state_dir: str, sources: Callable[[Spar
     once(bad, "event_key", ["delivery_id", "position"], state.read(spark, held, "reject_keys", KEYS)).write.mode("overwrite").parquet(f"{state_dir}/rejects/batch={number}")
     state.add(spark.read.parquet(f"{state_dir}/rejects/batch={number}").select("event_key", "slot"), held, "reject_keys", KEYS, path, fan)
     state.commit(spark, state_dir, number, before, held)
-    state.delete(spark, f"{path}/parsed")
+    state.delete(spark, f"{path}/parsed", f"{path}/first")
 
 
 def sink(spark: SparkSession, state_dir: str, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ anew. Markers and checkpoint belong together, both in the state folder.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -23,12 +24,17 @@ from ..operators.rollup import ROLLUP, counters, hashed
 from ..operators.store import increment, once
 
 
-def batch_delta(events: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(metric rows that a batch adds, identities that it saw first); seen: source_id, day, kind, identity."""
+def batch_delta(events: DataFrame, seen: DataFrame, held: Callable[[DataFrame], DataFrame] = lambda first: first) -> tuple[DataFrame, DataFrame]:
+    """(metric rows that a batch adds, identities that it saw first); seen: source_id, day, kind, identity.
+
+    held: writes a table down and reads it again, so that the identities, which both results need, are looked for once.
+    An event_id of a plain type (a number) lets them combine by hash, without a sort.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("identity")) for k, c in (("unique_visitors", "anonymous_id"), ("sessions", "session_id"))]))
     rows = events.select("source_id", "day", "suppressed", "event_id", each.alias("i")).select("source_id", "day", "suppressed", "event_id", "i.*")
     key = ["source_id", "day", "kind", "identity"]
     first = rows.groupBy(*key).agg(F.min_by("suppressed", "event_id").alias("suppressed")).join(seen, key, "left_anti")
+    first = held(first)
     uniques = first.where(~F.col("suppressed")).groupBy("day", "source_id", F.col("kind").alias("metric_key")).agg(F.count("*").cast("double").alias("metric_value")).withColumn("dimensions", F.lit(ROLLUP))
     return hashed(counters(events).unionByName(uniques)), first.select(*key)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.operators import cursor, rollup
 from sluice.sources import tables
 from sluice.streaming import bounded, ingest, state
+from sluice.streaming import rollup as stream_rollup
 
 
 def event(n, day=1, name=None, user=0):
@@ -69,6 +70,17 @@ def test_odd_bodies_repeats_and_rejects(spark, tmp_path):
     assert state.latest(spark, base)[0] == 2 and ingest.sink(spark, base, "events").count() == 5
 
 
+def test_identities_are_looked_for_once_and_combine_without_a_sort(spark, tmp_path):
+    rows = [(None, 3, "s", "2024-01-01", "a", "x", True), (-5, 2**31 - 1, "s", "2024-01-01", "a", "y", False), (-4, 0, "s", "2024-01-01", "b", "y", True), (2**63 - 1, 1, "s", "2024-01-01", "b", "x", False)]
+    events = spark.createDataFrame(rows, "delivery_id long, position int, source_id string, day string, anonymous_id string, session_id string, suppressed boolean")
+    events = events.withColumns({"day": F.to_date("day"), "event_name": F.lit("page_view"), "path": F.lit("/"), "referrer": F.lit(None).cast("string"), "event_id": ingest._order()})
+    assert [r["delivery_id"] for r in events.orderBy("event_id").collect()] == [None, -5, -4, 2**63 - 1]
+    found = []
+    stream_rollup.batch_delta(events, spark.createDataFrame([], stream_rollup.SEEN), lambda first: found.append(first) or first)
+    assert len(found) == 1 and "SortAggregate" not in found[0]._jdf.queryExecution().executedPlan().toString()
+    assert {(r["kind"], r["identity"], r["suppressed"]) for r in found[0].collect()} == {("unique_visitors", "a", True), ("unique_visitors", "b", True), ("sessions", "x", True), ("sessions", "y", False)}
+
+
 def test_a_cursor_is_committed_with_its_data(spark, tmp_path):
     rows = lambda n: spark.createDataFrame([(k, k // 3, f"v{k}") for k in range(n)] + [(99, None, "no mark")], "id long, at long, v string")
     base = str(tmp_path)
